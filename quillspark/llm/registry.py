@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import packing, token_counts
 
 
 def queries() -> dict:
-    return {"op2_token_counts": token_counts.op2_token_counts}
+    return {"op1_best_fit_packing": packing.op1_best_fit_packing, "op2_token_counts": token_counts.op2_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:

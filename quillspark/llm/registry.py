@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import jaccard_join, packing, token_counts
 
 
 def queries() -> dict:
-    return {"op1_best_fit_packing": packing.op1_best_fit_packing, "op2_token_counts": token_counts.op2_token_counts}
+    return {"op1_best_fit_packing": packing.op1_best_fit_packing, "op2_token_counts": token_counts.op2_token_counts, "op6_jaccard_join": jaccard_join.op6_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

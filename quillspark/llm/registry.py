@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, token_counts
+from . import jaccard_join, packing, personal, token_counts
 
 
 def queries() -> dict:
-    return {"op1_best_fit_packing": packing.op1_best_fit_packing, "op2_token_counts": token_counts.op2_token_counts, "op6_jaccard_join": jaccard_join.op6_jaccard_join}
+    return {"op1_best_fit_packing": packing.op1_best_fit_packing, "op2_token_counts": token_counts.op2_token_counts, "op6_jaccard_join": jaccard_join.op6_jaccard_join, "op8_personal_data": personal.op8_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:

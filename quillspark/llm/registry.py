@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language, licenses, packing, personal, quantised_search, suffix_tree, token_counts, tree_forest
+from . import jaccard_join, language, licenses, packing, personal, piece_transducer, quantised_search, suffix_tree, token_counts, tree_forest
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_lm_scores": suffix_tree.op4_lm_scores,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_sentencepiece": piece_transducer.op7_sentencepiece,
         "op8_personal_data": personal.op8_personal_data,
         "op9_near_vectors": tree_forest.op9_near_vectors,
         "op10_quantised_search": quantised_search.op10_quantised_search,

@@ -3,15 +3,99 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..adapter import driver_store, driver_table
+from ..functions.text import country_from_affiliation
+from ..operators import analytics as A
+from ..operators import concepts as C
+from ..operators import profiler, refine, retrieval, sqlforms
+from ..streaming import events
+from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The concept, its narrower nation, the people, papers and texts that the registered queries ask for.
+TOPIC, OTHER_TOPIC, AUTHOR, JOURNAL, PMID = "D000001", "kw:economy", "48", "J38", "558"
+IDS = ["1", "5", "77", "558", "999999999"]
+TEXT, SENTENCE, SEARCH = "nation_1s", "which people publish about economy or medium and small anvil in standard papers", "whst them retion"
+
+
+def _store(f) -> Query:
+    return lambda spark, sf_dir: f(driver_store(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def _documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = driver_table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("pmid"), "text")
+    # ASCII letters only, as the oracle's regular expressions know no others
+    words = docs.select(F.col("pmid").alias("doc"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term"))
+    return words.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+
+def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return driver_table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = retrieval.bm25(_documents_index(spark, sf_dir), SEARCH, 40)
+    near = retrieval.nearest_vectors(driver_store(spark, sf_dir)["vectors"], _vector(spark, sf_dir), 40)
+    return _rounded(retrieval.fuse([words, near], 20), "score", places=8)
 
 
+@cache
 def queries() -> dict[str, Query]:
-    return {}
+    return {
+        "kol_rank": _store(lambda s: A.rank_authors(s, TOPIC, since_year=1997, recent_since=2000).rows),
+        "kol_rank_country": _store(lambda s: A.rank_authors(s, country="nation_1", recent_since=2000).rows),
+        "journal_counts": _store(lambda s: A.list_journals(s).rows),
+        "journal_counts_topic": _store(lambda s: A.list_journals(s, TOPIC, 1997).rows),
+        "journal_totals": _store(lambda s: A.list_journals(s, TOPIC).totals),
+        "drug_counts": _store(lambda s: A.list_drugs(s, TOPIC).rows),
+        "drug_counts_all": _store(lambda s: A.list_drugs(s, named_only=False, limit=40).rows),
+        "country_counts": _store(lambda s: A.list_countries(s).rows),
+        "institution_counts": _store(lambda s: A.list_institutions(s, TOPIC).rows),
+        "study_type_counts": _store(lambda s: A.list_study_types(s, TOPIC).rows),
+        "year_trend": _store(lambda s: A.trend_by_year(s, TOPIC).rows),
+        "corpus_profile": _store(lambda s: A.corpus_stats(s)),
+        "core_years": _store(lambda s: A.year_quantile(s["articles"], 0.99)),
+        "papers_drilldown": _store(lambda s: A.list_papers(s, TOPIC, journal=JOURNAL).rows),
+        "papers_of_author": _store(lambda s: A.list_papers(s, TOPIC, author_key=AUTHOR, since_year=1998).rows),
+        "papers_by_ids": _store(lambda s: A.articles_by_id(s, IDS)),
+        "trial_links": _store(lambda s: A.find_trials(s, TOPIC).rows),
+        "top_cited": _store(lambda s: A.top_cited(s).rows),
+        "topic_overlap": _store(lambda s: A.compare_concepts(s, TOPIC, OTHER_TOPIC)),
+        "article_record": _store(lambda s: A.article_record(s, PMID).select("pmid", "title", "medline_ta", F.size("authors").cast("long").alias("n_authors"), F.size("headings").cast("long").alias("n_headings"), F.size("substances").cast("long").alias("n_substances"), F.size("keywords").cast("long").alias("n_keywords"), "references_total", "references_in_corpus", "cited_by_in_corpus")),
+        "taxonomy_descendants": _store(lambda s: C.descendants(s, TOPIC)),
+        "scope_pmids": _store(lambda s: C.scope_pmids(s, TOPIC)),
+        "scope_summary": _store(lambda s: C.scope_summary(s, TOPIC)),
+        "vocabulary": _store(lambda s: s["vocabulary"]),
+        "lookup": _store(lambda s: C.lookup(s)),
+        "resolve_terms": _store(lambda s: C.resolve(s, TEXT, 10)),
+        "spot_terms": _store(lambda s: C.spot(s, SENTENCE, 10)),
+        "resolve_merge": _store(lambda s: C.resolve_all(s, TEXT)),
+        "dedup_latest": lambda spark, d: refine.latest(driver_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").distinct(), ("l_orderkey", "l_linenumber"), "l_suppkey", "l_quantity", "l_extendedprice"),
+        "apply_deletes": _store(lambda s: s["articles"].join(s["deleted_pmids"], "pmid", "left_anti").select("pmid", "pub_year")),
+        "country_parse": _store(lambda s: s["authorships"].select("pmid", "position", country_from_affiliation(F.col("affiliation")).alias("parsed"))),
+        "sql_journals": _store(lambda s: sqlforms.run(s, "journals_of_substance", name="new widget")),
+        "sql_drugs": _store(lambda s: sqlforms.run(s, "drugs_of_heading", name="NATION_9")),
+        "sql_kol": _store(lambda s: sqlforms.run(s, "leading_authors", name="NATION_9", recent=2000)),
+        "sql_ambiguity": _store(lambda s: sqlforms.run(s, "ambiguous_authors", more=1)),
+        "sql_topic": _store(lambda s: sqlforms.run(s, "topic_papers", name="AMERICA")),
+        "doc_text": _store(lambda s: retrieval.document_text(s, truncate=2000).select("pmid", "text")),
+        "bm25_topk": lambda spark, d: _rounded(retrieval.bm25(_documents_index(spark, d), SEARCH, 20), "score"),
+        "vector_topk": lambda spark, d: _rounded(retrieval.nearest_vectors(driver_store(spark, d)["vectors"], _vector(spark, d), 20), "score"),
+        "hybrid_rrf": _hybrid,
+        "html_profile": lambda spark, d: profiler.profile_pages(driver_table(spark, d, "pages"), "page_id", "html"),
+        "event_tumbling": lambda spark, d: events.tumbling(driver_table(spark, d, "events")),
+        "event_sessions": lambda spark, d: events.sessions(driver_table(spark, d, "events")).select("user_id", "session", "n_events"),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_of(TOPIC, OTHER_TOPIC, AUTHOR, JOURNAL, PMID, IDS, TEXT, SENTENCE, SEARCH)

@@ -28,10 +28,8 @@ from .shingles import mix, shingle_sets
 from .tables import Staged, documents
 
 WIDTH, PERCENT = 3, 90
-#: Signatures with more sets than this are compared by rounds of pivots instead of by all their pairs.
-SMALL = 12
-#: Rounds of pivots before all pairs that are still in different components are compared.
-ROUNDS = 5
+#: Sets in a block of a group that is compared by pairs of blocks.
+BLOCK = 512
 _GROUP, _SEGMENT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -85,78 +83,123 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[
     return np.concatenate(out), np.concatenate(owners)
 
 
-def _pairs_of_runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.triu_indices(length, 1)
-    return (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
-
-
-def _bucketed(percent: int, small: int):
-    """Over rows in order of signature: the pairs of small buckets (sig null), and the members of larger ones."""
-
-    def rows(sig, a, b, n):
-        return pa.RecordBatch.from_arrays([sig, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], names=["sig", "a", "b", "n"])
-
-    def members(sig, ids, n):
-        return rows(pa.array(sig, pa.int64()), ids, ids, n)
+def _stars(batches):
+    """Over rows in order of signature: each set of a bucket with the bucket's first, for buckets of several."""
+    held = None
+    for batch in batches:
+        sig, ids = (batch.column(k).to_numpy() for k in range(2))
+        if not len(sig):
+            continue
+        if held is not None:
+            sig, ids = np.concatenate([[held[0]], sig]), np.concatenate([[held[1]], ids])
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])
+        centre = ids[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+        held = sig[-1], centre[-1]
+        edge = centre != ids
+        if edge.any():
+            pairs = np.unique(np.stack([centre[edge], ids[edge]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+
+def _links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each of the first sets is as similar as asked to each of the second, by exact counts."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    both = np.zeros((len(first), len(second)), np.float32)
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[at] > 1  # what one set alone has is in no intersection
+    column = np.cumsum(counts > 1)[at[shared]] - 1
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [start, start + 4096])
+        part = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - start)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        both += part[first] @ part[second].T
+    union = sizes[first][:, None] + sizes[second][None, :] - both
+    return 100 * both.astype(np.float64) >= percent * union.astype(np.float64)
+
+
+def _forest(links: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each linked set to a root of its component."""
+    near = np.zeros((n, n), bool)
+    near[np.ix_(first, second)] = links
+    near |= near.T
+    root = np.full(n, -1)
+    for k in range(n):
+        if root[k] < 0:
+            reached = np.zeros(n, bool)
+            front = np.array([k])
+            reached[k] = True
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & ~reached)
+                reached[front] = True
+            root[reached] = k
+    own = np.flatnonzero(root != np.arange(n))
+    return root[own], own
+
+
+def _compared(percent: int):
+    """Over rows in order of (grp, i, j), each group of which holds two blocks at most: edges of linked sets."""
+
+    def edges(table):
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(first) or not len(second):
+            return None
+        u, v = _forest(_links(sets, first, second, percent), first, second, len(sets))
+        return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"]) if len(u) else None
 
     def run(batches):
-        sig, ids, n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-        large = None  # the signature whose members are already being passed on
+        held = None
         for batch in batches:
-            new = [batch.column(k).to_numpy() for k in range(3)]
-            if not len(new[0]):
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if not held.num_rows:
                 continue
-            sig, ids, n = (np.concatenate(x) for x in zip((sig, ids, n), new, strict=True))
-            if large is not None:
-                at = int(np.searchsorted(sig, large, "right"))  # signatures ascend
-                if at:
-                    yield members(sig[:at], ids[:at], n[:at])
-                    sig, ids, n = sig[at:], ids[at:], n[at:]
-                if not len(sig):
-                    continue
-                large = None
-            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            last = starts[-1]
-            yield from whole(sig[:last], ids[:last], n[:last], starts[:-1])
-            sig, ids, n = sig[last:], ids[last:], n[last:]
-            if len(sig) > small:
-                large = sig[0]
-                yield members(sig, ids, n)
-                sig, ids, n = sig[:0], ids[:0], n[:0]
-        if len(sig):
-            yield from whole(sig, ids, n, np.array([0]))
-
-    def whole(sig, ids, n, starts):
-        lengths = np.diff(np.concatenate([starts, [len(sig)]])).astype(np.int64)
-        for length in range(2, small + 1):
-            if len(chosen := starts[lengths == length]):
-                i, j = _pairs_of_runs(chosen, length)
-                keep = (100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64)) & (ids[i] != ids[j])
-                a, b = np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
-                if len(a):
-                    pairs = np.unique(np.stack([a, b]), axis=1)
-                    yield rows(pa.nulls(pairs.shape[1], pa.int64()), pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int32))
-        if (wide := lengths > small).any():
-            at = np.repeat(wide, lengths)
-            yield members(sig[at], ids[at], n[at])
+            key = [held.column(c).to_numpy() for c in ("grp", "i", "j")]
+            starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in key])]))
+            for a, b in zip(starts[:-1], starts[1:]):
+                if (found := edges(held.slice(a, b - a))) is not None:
+                    yield found
+            held = held.slice(starts[-1])
+        if held is not None and held.num_rows and (found := edges(held)) is not None:
+            yield found
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity; whole sets are compared."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+def _linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges that join all linked sets of each group (columns id, grp, n of groups; id, elements of sets).
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    A group of up to BLOCK sets is compared by one task. In a larger one, sets of a size band are dealt into blocks,
+    and only blocks of the same or neighbouring bands meet, in pairs.
+    """
+    bands = Bands(percent, 1 << 40).starts.tolist()
+    band = F.array_size(F.filter(F.array(*map(F.lit, bands)), lambda s: s <= F.col("n"))).cast("int")
+    sized = groups.withColumn("band", band)
+    counts = sized.groupBy("grp", "band").agg(F.count("*").alias("size"))
+    blocks = counts.groupBy("grp").agg(F.sum("size").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("size") / BLOCK).cast("int")))).alias("blocks"))
+    dealt = sized.join(blocks.where("all > 1"), "grp")
+    small = dealt.where(F.col("all") <= BLOCK).select("id", "grp", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    large = dealt.where(F.col("all") > BLOCK).withColumn("part", F.pmod(F.xxhash64("id"), F.try_element_at("blocks", "band")).cast("int"))
+    number = lambda band, part: band.cast("long") * (1 << 32) + part
+
+    def of_band(near: int):
+        band = F.col("band") + near
+        numbers = F.transform(F.sequence(F.lit(0), F.try_element_at("blocks", band) - 1), lambda k: number(band, k))
+        return F.coalesce(numbers, F.expr("cast(array() as array<bigint>)"))
+
+    others = F.concat(*map(of_band, (-1, 0, 1)))
+    own = number(F.col("band"), F.col("part"))
+    large = large.select("id", "grp", own.alias("block"), F.explode(others).alias("other"))
+    large = large.select("id", "grp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = small.unionAll(large).join(sets, "id").select("grp", "i", "j", "id", "block", "elements")
+    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return rows.mapInArrow(_compared(percent), "u long, v long")
 
 
 def _hashes(percent: int, width: int, wanted: str):
@@ -169,7 +212,7 @@ def _hashes(percent: int, width: int, wanted: str):
                 sizes = np.diff(bounds)
                 if wanted == "signatures":
                     sig, of = signatures(elements, bounds, percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), part.column("id").take(pa.array(of)), pa.array(sizes[of].astype(np.int32))], names=["sig", "id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), part.column("id").take(pa.array(of))], names=["sig", "id"])
                     continue
                 each = [elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 if wanted == "sets":
@@ -188,67 +231,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an empty table gives no rows. Shingles are compared by 64-bit hashes.
 
     Rows with equal sets become one class, so copies cost nothing later. Then only classes' texts are hashed to
-    signatures; buckets are read in order of signature, in a stream, so that none is gathered. A bucket of up to SMALL
-    gives all its pairs. In a larger one, pivots (the members that share most signatures) are compared with all others
-    for ROUNDS rounds, after each of which only members of different components remain; then their pairs are compared
-    whole. So large groups of near copies give few pairs, and no link between components is lost.
+    signatures; buckets are read in order of signature, in a stream, so that none is gathered. Each gives a star, and
+    the stars' components are the groups in which all candidates lie. A group's sets are compared by whole blocks, of
+    which only edges that join what is linked come back: a group of near copies costs as many rows as it has members
+    (times its blocks), not pairs, and no link between components is lost.
     """
     spark = df.sparkSession
     stage = Staged(spark, "jaccard")
     read = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     base = stage.write(read.mapInArrow(_hashes(percent, width, "base"), "id long, n_shingles long, set_hash binary"), "base")
-    classes = stage.write(base.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
+    classes = stage.write(base.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n")), "classes")
     of_class = read.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    dealt = of_class.mapInArrow(_hashes(percent, width, "signatures"), "sig long, id long, n int").repartition("sig").sortWithinPartitions("sig", "id")
-    found = stage.write(dealt.mapInArrow(_bucketed(percent, SMALL), "sig long, a long, b long, n int"), "found")
-    pairs = stage.write(found.where("sig is null").select("a", "b").distinct(), "pairs")
-    large = stage.write(found.where("sig is not null").select("sig", F.col("a").alias("id"), "n").distinct(), "large")
-    near = pairs.select("a").union(pairs.select("b")).union(large.select("id")).toDF("id").distinct()
-    sets = stage.write(read.join(near, "id", "left_semi").mapInArrow(_hashes(percent, width, "sets"), "id long, elements binary").dropDuplicates(["id"]), "sets")
-    edges = stage.write(_verified(pairs, sets, percent), "edges")
-    labels = components(edges.toDF("u", "v"), stage, "first")
-    if not large.isEmpty():
-        labels = _pivots(large, edges, labels, sets, percent, stage)
-    out = base.join(classes, "set_hash", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    dealt = of_class.mapInArrow(_hashes(percent, width, "signatures"), "sig long, id long").repartition("sig").sortWithinPartitions("sig", "id")
+    stars = stage.write(dealt.mapInArrow(_stars, "u long, v long"), "stars")
+    groups = components(stars, stage, "groups").toDF("id", "grp")
+    groups = stage.write(groups.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")), "id"), "groups")
+    sets = read.join(groups.select("id"), "id", "left_semi").mapInArrow(_hashes(percent, width, "sets"), "id long, elements binary")
+    edges = stage.write(_linked(groups, sets, percent), "edges")
+    labels = components(edges, stage, "components")
+    out = base.join(classes.select("set_hash", "rep"), "set_hash", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
-def _pivots(large: DataFrame, edges: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, stage: Staged) -> DataFrame:
-    """Components once the large buckets are compared too."""
-    shared = large.join(large.groupBy("sig").agg(F.count("*").alias("mates")), "sig").groupBy("id").agg(F.sum("mates").alias("weight"))
-    members = stage.write(large.join(shared, "id"), "members")
-    done = None
-    for k in range(ROUNDS + 1):
-        now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = now.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "id", "component", "n")).alias("p")).where("low < high")
-        size = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        if k < ROUNDS:
-            # the heaviest member meets all members of other components; later rounds turn to what it didn't reach
-            pick = F.col("p")
-            if k:
-                far = now.join(mixed.select("sig", F.col("p.component").alias("pc")), "sig").where("component != pc")
-                mixed = far.groupBy("sig").agg(F.max(F.struct("weight", "id", "component", "n")).alias("p"))
-            pairs = now.join(mixed.select("sig", pick["id"].alias("pid"), pick["component"].alias("pc"), pick["n"].alias("pn")), "sig").where((F.col("component") != F.col("pc")) & size)
-            pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"))
-        else:
-            rest = now.join(mixed.select("sig"), "sig", "left_semi")
-            other = rest.select("sig", F.col("id").alias("pid"), F.col("component").alias("pc"), F.col("n").alias("pn"))
-            pairs = rest.join(other, "sig").where((F.col("id") < F.col("pid")) & (F.col("component") != F.col("pc")) & size).select(F.col("id").alias("a"), F.col("pid").alias("b"))
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stage.write(pairs, f"pairs-{k}")
-        if pairs.isEmpty():
-            if k < ROUNDS:
-                continue
-            break
-        done = pairs if done is None else done.unionAll(pairs)
-        more = stage.write(_verified(pairs, sets, percent), f"edges-{k}")
-        edges = edges.unionAll(more)
-        labels = components(edges.toDF("u", "v"), stage, f"round-{k}")
-    return labels
-
-
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by three-word shingles and a similarity of 0.9."""
     return jaccard_components(documents(spark, sf_dir))

@@ -48,18 +48,17 @@ def corpus(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("small", [2, 12])
-def test_against_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    rows = corpus(random.Random(small), 350) + [(1000, None), (1001, ""), (1002, " \n")]
+@pytest.mark.parametrize("block", [3, 512])
+def test_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = corpus(random.Random(block), 350) + [(1000, None), (1001, ""), (1002, " \n")]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
 
 def test_a_chain_of_near_copies(spark, monkeypatch):
     """Ends of the chain aren't similar, and all share most signatures with some."""
-    monkeypatch.setattr(jaccard_join, "SMALL", 2)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     words = [f"w{k}" for k in range(120)]
     rows = []
     for i in range(40):

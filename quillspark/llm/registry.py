@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language, licenses, packing, personal, piece_transducer, quantised_search, suffix_tree, token_counts, tree_forest
+from . import jaccard_join, language, licenses, oracles, packing, personal, piece_transducer, quantised_search, suffix_tree, token_counts, tree_forest
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": oracles.license_scan(), "op9_near_vectors": oracles.near_vectors()}

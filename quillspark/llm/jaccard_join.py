@@ -28,8 +28,9 @@ from .shingles import mix, shingle_sets
 from .tables import Staged, documents
 
 WIDTH, PERCENT = 3, 90
-#: Sets in a block of a group that is compared by pairs of blocks.
+#: Sets in a block of a group that is compared by pairs of blocks; text bytes hashed at once by a task.
 BLOCK = 512
+_SLICE = 4 << 20
 _GROUP, _SEGMENT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -206,9 +207,17 @@ def _hashes(percent: int, width: int, wanted: str):
     """Of each text: its set's size and fingerprint, its signatures, or its whole set."""
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 elements, bounds = shingle_sets(texts_of(part, "text"), width)
+                if wanted == "signatures":
+                    # a set that the task has met is left out, so that copies don't swell a signature's bucket
+                    digests = [xxhash.xxh3_128_digest(elements[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+                    new = [k for k, d in enumerate(digests) if d not in seen and not seen.add(d)]
+                    part = part.take(pa.array(new, pa.int64()))
+                    elements = np.concatenate([elements[bounds[k] : bounds[k + 1]] for k in new]) if new else elements[:0]
+                    bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[new])])
                 sizes = np.diff(bounds)
                 if wanted == "signatures":
                     sig, of = signatures(elements, bounds, percent)
@@ -230,8 +239,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null or empty text has no shingles and is linked with nothing. Repeated rows are kept; other columns aren't read;
     an empty table gives no rows. Shingles are compared by 64-bit hashes.
 
-    Rows with equal sets become one class, so copies cost nothing later. Then only classes' texts are hashed to
-    signatures; buckets are read in order of signature, in a stream, so that none is gathered. Each gives a star, and
+    Rows with equal sets become one class, and a task publishes a set's signatures once. Buckets are read in order of signature, in a stream, so that none is gathered. Each gives a star, and
     the stars' components are the groups in which all candidates lie. A group's sets are compared by whole blocks, of
     which only edges that join what is linked come back: a group of near copies costs as many rows as it has members
     (times its blocks), not pairs, and no link between components is lost.
@@ -241,12 +249,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     read = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     base = stage.write(read.mapInArrow(_hashes(percent, width, "base"), "id long, n_shingles long, set_hash binary"), "base")
     classes = stage.write(base.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n")), "classes")
-    of_class = read.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    dealt = of_class.mapInArrow(_hashes(percent, width, "signatures"), "sig long, id long").repartition("sig").sortWithinPartitions("sig", "id")
+    dealt = read.where("id is not null").mapInArrow(_hashes(percent, width, "signatures"), "sig long, id long").repartition("sig").sortWithinPartitions("sig", "id")
     stars = stage.write(dealt.mapInArrow(_stars, "u long, v long"), "stars")
     groups = components(stars, stage, "groups").toDF("id", "grp")
     groups = stage.write(groups.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")), "id"), "groups")
-    sets = read.join(groups.select("id"), "id", "left_semi").mapInArrow(_hashes(percent, width, "sets"), "id long, elements binary")
+    # by a shuffle at every size: the ids grow with the input
+    sets = read.join(groups.select("id").hint("shuffle_hash"), "id", "left_semi").mapInArrow(_hashes(percent, width, "sets"), "id long, elements binary")
     edges = stage.write(_linked(groups, sets, percent), "edges")
     labels = components(edges, stage, "components")
     out = base.join(classes.select("set_hash", "rep"), "set_hash", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")

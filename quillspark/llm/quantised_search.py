@@ -174,7 +174,8 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_co
 
     q = stage.write(q.mapInArrow(blobs, "block int, q_ids binary, q_vectors binary"), "query-blocks")
     parts = max(1, -(-n // DATA_BLOCK))
-    data = rows.repartition(parts, "id").mapInArrow(_data_blocks(quantiser), "ids binary, codes binary")
+    # full blocks whatever the number of partitions, as each block names its own best of every query
+    data = rows.coalesce(parts).mapInArrow(_data_blocks(quantiser), "ids binary, codes binary")
     data = stage.write(data.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")), "data-blocks")
     # every block of queries goes to every salt, every block of data to every block of queries
     left = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))

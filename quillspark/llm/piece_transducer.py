@@ -27,11 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrow import coded, slices, texts_of
-from .bpe import NEWLINE, START, Cache
+from .bpe import KEY_LIMIT, NEWLINE, START, Cache
 from .tables import documents
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+#: Runs of marks with what follows them.
+_PARTS = re.compile(r"▁+[^▁]*|[^▁]+").findall
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -92,8 +94,12 @@ class Transducer:
         self.characters = {c for p in self.ids for c in p}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a mark after another character")
-        self.longest = max(map(len, self.ids))
+        # the length of the longest piece that ends with two characters
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
         self.fits: dict[tuple[str, str], bool] = {}
+        self.last: dict[str, str] = {}
         # output labels of the inverse: bytes of each piece
         self.texts = [bytes([int(p[3:5], 16)]) if k == BYTE else (p if k == NORMAL else "").replace(SPACE, " ").encode() for p, _, k in model.pieces]
         self.unknown = next((i for i, (_, _, k) in enumerate(model.pieces) if k == UNKNOWN), None)
@@ -123,28 +129,38 @@ class Transducer:
         return found
 
     def path(self, text: str) -> list[str]:
-        """The shortest path over a normalised text: pieces, or single characters that none has."""
-        n = len(text)
-        # the least weight to (place, last piece), of which one at most is finite at each place
-        weight, last = [math.inf] * (n + 1), [""] * (n + 1)
-        weight[0] = 0.0
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if weight[start] == math.inf:
-                    continue
+        """The shortest path over a normalised text: pieces, or single characters that none has.
+
+        Of the states at a place one at most has a finite weight, so that relaxing it is done with the first arc of
+        finite weight. The last pieces of short prefixes are kept, as other texts begin with them."""
+        n, kept, ids, fits, reach = len(text), self.last, self.ids, self.fits, self.reach
+        if len(kept) > 1_000_000:
+            kept.clear()
+        known = min(n, KEY_LIMIT)
+        while known and text[:known] not in kept:
+            known -= 1
+        new: dict[int, str] = {0: ""}
+        for end in range(known + 1, n + 1):
+            for start in range(max(0, end - reach.get(text[max(0, end - 2) : end], 1)), end):
                 piece = text[start:end]
-                arc = piece in self.ids or end - start == 1
-                if arc and self._follows(last[start], piece) and weight[start] + 1 < weight[end]:
-                    weight[end], last[end] = weight[start] + 1, piece
+                if piece in ids or end - start == 1:
+                    before = kept[text[:start]] if 0 < start <= known else new[start]
+                    fit = fits.get((before, piece))
+                    if fit or fit is None and self._follows(before, piece):
+                        new[end] = piece
+                        if end <= KEY_LIMIT:
+                            kept[text[:end]] = piece
+                        break
         out, end = [], n
         while end:
-            out.append(last[end])
-            end -= len(last[end])
+            piece = kept[text[:end]] if end <= known else new[end]
+            out.append(piece)
+            end -= len(piece)
         return out[::-1]
 
     def _ids(self, text: str) -> list[int]:
         out: list[int] = []
-        for part in filter(None, re.split(r"(?<=[^▁])(?=▁)", text)):
+        for part in _PARTS(text) if SPACE in text[1:] else (text,):
             for piece in self.path(part):
                 if piece in self.ids:
                     out.append(self.ids[piece])

@@ -116,23 +116,69 @@ def _block(ids, rows):
     return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=["ids", "codes"])
 
 
-def _scan(quantiser, keep):
+def _best(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best columns of each row; ties go to the smaller id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :keep]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def _merged(held, ids, scores, keep):
+    return _best(np.concatenate([held[0], ids], 1), np.concatenate([held[1], scores], 1), keep) if held else (ids, scores)
+
+
+def _scan(quantiser, keep, most=32):
+    """Rows (block, q_ids, ids, near): of each block of queries the best of the data blocks that the task has met. Up to
+    ``most`` blocks of queries are held at once."""
+
+    def rows(held):
+        for block, (q_ids, best) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (q_ids, *best))], names=["block", "q_ids", "ids", "near"])
+
     def run(batches):
+        held: dict[int, tuple] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T.copy()
                 tables = quantiser.value.tables(_unit(np.frombuffer(row["q_vectors"], np.float64).reshape(len(q_ids), -1)))
-                out_q, out_id, out_s = [], [], []
+                found, near = [], []
                 for q, table in zip(q_ids, tables, strict=True):
                     scores = np.zeros(len(ids), np.float32)
                     for byte, code in zip(table, codes, strict=True):
                         scores += byte[code]
                     scores[ids == q] = -np.inf
                     best = np.argpartition(-scores, keep)[:keep] if len(ids) > keep else np.arange(len(ids))
-                    best = best[scores[best] > -np.inf]
-                    out_q.append(np.full(len(best), q)), out_id.append(ids[best]), out_s.append(scores[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_id, out_s)], names=["query_id", "id", "near"])
+                    found.append(ids[best]), near.append(scores[best])
+                before = held.pop(row["block"], (None, None))[1]
+                held[row["block"]] = q_ids, _merged(before, np.stack(found), np.stack(near), keep)
+                if len(held) > most:
+                    yield from rows(held)
+                    held = {}
+        yield from rows(held)
+
+    return run
+
+
+def _chosen(keep):
+    """Over rows in order of block: query_id, id of the best of all data blocks."""
+
+    def rows(q_ids, best):
+        ids, scores = best
+        real = scores > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, real.sum(1))), pa.array(ids[real])], names=["query_id", "id"])
+
+    def run(batches):
+        block, q_ids, held = None, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != block:
+                    if held:
+                        yield from rows(q_ids, held)
+                    block, q_ids, held = row["block"], np.frombuffer(row["q_ids"], np.int64), None
+                ids, scores = (np.frombuffer(row[c], t).reshape(len(q_ids), -1) for c, t in (("ids", np.int64), ("near", np.float32)))
+                held = _merged(held, ids, scores, keep)
+        if held:
+            yield from rows(q_ids, held)
 
     return run
 
@@ -180,9 +226,9 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_co
     # every block of queries goes to every salt, every block of data to every block of queries
     left = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     right = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = left.join(right, ["block", "salt"]).select("ids", "codes", "q_ids", "q_vectors").mapInArrow(_scan(quantiser, rerank * k), "query_id long, id long, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    chosen = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank * k).select("query_id", "id")
+    pairs = left.join(right, ["block", "salt"]).select("block", "ids", "codes", "q_ids", "q_vectors")
+    near = pairs.mapInArrow(_scan(quantiser, rerank * k), "block int, q_ids binary, ids binary, near binary")
+    chosen = near.repartition("block").sortWithinPartitions("block").mapInArrow(_chosen(rerank * k), "query_id long, id long")
     vectors = chosen.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q_vector")), "query_id")
     exact = vectors.select("query_id", "id", "vector", "q_vector").mapInArrow(_exact, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

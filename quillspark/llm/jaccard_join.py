@@ -239,7 +239,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null or empty text has no shingles and is linked with nothing. Repeated rows are kept; other columns aren't read;
     an empty table gives no rows. Shingles are compared by 64-bit hashes.
 
-    Rows with equal sets become one class, and a task publishes a set's signatures once. Buckets are read in order of signature, in a stream, so that none is gathered. Each gives a star, and
+    Rows with equal sets become one class. A task publishes a set's signatures once, for the first row of it that it
+    meets; its ids are led to the class's smallest before groups are compared. Buckets are read in order of signature, in a stream, so that none is gathered. Each gives a star, and
     the stars' components are the groups in which all candidates lie. A group's sets are compared by whole blocks, of
     which only edges that join what is linked come back: a group of near copies costs as many rows as it has members
     (times its blocks), not pairs, and no link between components is lost.
@@ -251,8 +252,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = stage.write(base.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n")), "classes")
     dealt = read.where("id is not null").mapInArrow(_hashes(percent, width, "signatures"), "sig long, id long").repartition("sig").sortWithinPartitions("sig", "id")
     stars = stage.write(dealt.mapInArrow(_stars, "u long, v long"), "stars")
-    groups = components(stars, stage, "groups").toDF("id", "grp")
-    groups = stage.write(groups.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")), "id"), "groups")
+    # the ids published for a class share its signatures, and so a group; they needn't be its rep
+    published = components(stars, stage, "groups").toDF("id", "grp").join(base.select("id", "set_hash"), "id")
+    groups = stage.write(published.select("set_hash", "grp").distinct().join(classes, "set_hash").select(F.col("rep").alias("id"), "grp", "n").distinct(), "groups")
     # by a shuffle at every size: the ids grow with the input
     sets = read.join(groups.select("id").hint("shuffle_hash"), "id", "left_semi").mapInArrow(_hashes(percent, width, "sets"), "id long, elements binary")
     edges = stage.write(_linked(groups, sets, percent), "edges")

@@ -56,6 +56,20 @@ def test_against_all_pairs(spark, monkeypatch, block):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_copies_in_falling_id_order(spark, parts):
+    """Tasks meet other copies of a text before the one with the smallest id."""
+    rng = random.Random(11)
+    texts = [[f"v{rng.randrange(300)}" for _ in range(120)] for _ in range(6)]
+    rows = []
+    for k, words in enumerate(texts):
+        near = [*words[:-1], "changed"]
+        rows += [(900 - 10 * k, " ".join(words)), (500 - 10 * k, " ".join(words)), (100 - 10 * k, " ".join(words)), (1000 + k, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = jaccard_components(df if parts == 1 else df.repartition(parts)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
 def test_a_chain_of_near_copies(spark, monkeypatch):
     """Ends of the chain aren't similar, and all share most signatures with some."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)

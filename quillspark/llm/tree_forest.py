@@ -21,8 +21,15 @@ from .tables import Staged, embeddings
 from .vectors import classes, doubles, matrix
 
 LEAST = 0.9
-#: Trees; vectors aimed at in a leaf; the share of the spread that spills over; vectors in a block; and the sample.
+#: Least trees; vectors aimed at in a leaf; the share of the spread that spills over; vectors in a block; and the sample.
 TREES, LEAF, SPILL, BLOCK, SAMPLE = 6, 256, 0.25, 1024, 20_000
+#: Share of the links in a cluster that a level of a tree keeps, and share that all trees together may lose; trees are added with depth.
+LEVEL_KEEPS, LOST = 0.9, 0.002
+
+
+def trees_for(depth: int) -> int:
+    """Trees that hold the share of lost links whatever the depth."""
+    return max(TREES, math.ceil(math.log(LOST) / math.log1p(-(LEVEL_KEEPS**depth)))) if depth else TREES
 
 
 def _direction(dims: int, seed: str) -> np.ndarray:
@@ -33,7 +40,8 @@ def _direction(dims: int, seed: str) -> np.ndarray:
 class Forest:
     """Trees by length of vector; a tree is a dictionary of nodes by path."""
 
-    def __init__(self, sample: list[np.ndarray], depth: int, trees: int = TREES):
+    def __init__(self, sample: list[np.ndarray], depth: int, trees: int | None = None):
+        trees = trees_for(depth) if trees is None else trees
         self.depth, self.trees, self.nodes = depth, trees, {}
         by: dict[int, list] = {}
         for v in sample:

@@ -46,6 +46,20 @@ def test_links_against_brute_force(spark, monkeypatch):
     assert got[906].n_links == got[907].n_links == 1 and got[907].component_id == 906
 
 
+def test_deep_trees_keep_the_links_of_a_cluster():
+    """Each level loses some links of a loose cluster, so more trees are needed the deeper they are."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    hot = centre / np.linalg.norm(centre) + rng.standard_normal((1500, 64)) * math.sqrt(0.1 / 64)
+    hot /= np.linalg.norm(hot, axis=1, keepdims=True)
+    forest = tree_forest.Forest([*hot, *rng.standard_normal((3000, 64))], 10)
+    want, found = hot @ hot.T >= 0.9, np.zeros((1500, 1500), bool)
+    for tree in range(forest.trees):
+        for _, rows in forest.leaves(hot, tree):
+            found[np.ix_(rows, rows)] = True
+    assert (found & want).sum() >= 0.985 * want.sum()
+
+
 def test_a_leaf_that_cannot_be_split_is_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(tree_forest, "LEAF", 10_000)
     monkeypatch.setattr(tree_forest, "BLOCK", 16)

@@ -1,8 +1,11 @@
-"""Arrow helpers of the Python operators: bounded slices of a batch, and words or units coded by a dictionary."""
+"""Arrow helpers of the Python operators: bounded slices of a batch, words or units coded by a dictionary, and a
+worker's memory."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,3 +49,37 @@ def without_empty(codes: np.ndarray, items: pa.Array, offsets: np.ndarray) -> tu
         return codes, items, offsets
     keep = codes != empty
     return codes[keep], items, np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
+def trim() -> None:
+    """Gives back to the system what a worker no longer uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """The same function of batches, after which the worker is trimmed, as workers are kept for later stages."""
+
+    def f(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return f
+
+
+_held: dict = {}
+
+
+def only(key: tuple, make: Callable):
+    """What ``make`` gives, kept by a worker until another operator asks for something of its own."""
+    if key not in _held:
+        _held.clear()
+        trim()
+        _held[key] = make()
+    return _held[key]

@@ -13,7 +13,6 @@ import json
 import os
 import re
 from array import array
-from functools import cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,12 +24,12 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from .arrow import coded
+from .arrow import coded, only
 
 #: In a unit, what stands before it: nothing at the start of a text, a newline; else it was a space.
 START, NEWLINE = "\x01", "\x00"
 #: Entries of each of a cache's two generations, a bound on a worker's memory.
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 100_000
 #: Longer keys are not kept.
 KEY_LIMIT = 64
 _WIDE = re.compile(r"[^\x00-\xff]")
@@ -176,7 +175,7 @@ class PrefixCounter:
         """Whether the two encode as themselves; before may be empty."""
         found = self.fits.get((before, token))
         if found is None:
-            if len(self.fits) > 3 * CACHE_LIMIT:
+            if len(self.fits) > 9 * CACHE_LIMIT:
                 self.fits.clear()
             found = self.fits[before, token] = self._merged(before + token) == ([before, token] if before else [token])
         return found
@@ -190,7 +189,7 @@ class PrefixCounter:
         n = len(word)
         if n > KEY_LIMIT:
             return self.states(word)[-1]
-        if len(last) > 4 * CACHE_LIMIT:
+        if len(last) > 12 * CACHE_LIMIT:
             last.clear()
         k = n - 1
         while k and word[:k] not in last:
@@ -219,7 +218,7 @@ class PrefixCounter:
                         state = out[j][0] + 1, token
                         break
                 if prefix:
-                    if len(last) > 4 * CACHE_LIMIT:
+                    if len(last) > 12 * CACHE_LIMIT:
                         last.clear()
                     last[prefix] = state
             out.append(state)
@@ -289,11 +288,9 @@ class PrefixCounter:
         return totals, fit
 
 
-@cache
 def id_encoder(name: str) -> IdEncoder:
-    return IdEncoder(name)
+    return only(("ids", name), lambda: IdEncoder(name))
 
 
-@cache
 def prefix_counter(name: str) -> PrefixCounter:
-    return PrefixCounter(name)
+    return only(("prefixes", name), lambda: PrefixCounter(name))

@@ -8,16 +8,14 @@ that each filter's fill predicts, decide.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import slices, texts_of
+from .arrow import only, slices, texts_of, trimmed
 from .shingles import mix
-from .tables import documents
+from .tables import Staged, documents
 
 #: n-gram lengths; the least share of a language's n-grams that one needs, so that at most 1 / SHARE stay for each
 #: language; and the least rate as a part of the largest that the n-gram has in any language.
@@ -30,9 +28,12 @@ _PIECE = 1 << 20
 _SLICE = 2 << 20
 
 
-@cache
 def _letters() -> np.ndarray:
     """The lower-case form of each letter's code point, 0 for all others."""
+    return only(("letters",), _letter_table)
+
+
+def _letter_table() -> np.ndarray:
     table = np.zeros(0x110000, np.uint32)
     for i in range(0x110000):
         c = chr(i)
@@ -193,18 +194,20 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share:
     """Filters of all rows with a language: an n-gram's counts are summed over the cluster; only the n-grams of a
     language with at least ``share`` of its occurrences (so at most 1 / share for each language) reach the driver."""
     read = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[text_col].alias("text"), df[lang_col].cast("string").alias("lang"))
-    counts = read.mapInArrow(_counted, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).persist()
+    stage = Staged(df.sparkSession, "language")
+    counts = read.mapInArrow(trimmed(_counted), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = stage.write(counts, "counts")
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(totals)
     if not languages:
-        counts.unpersist()
+        stage.drop()
         return Filters([], [], [])
     rates = counts.join(F.broadcast(df.sparkSession.createDataFrame(list(totals.items()), "lang string, total long")), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= share)
     top = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("all"))
     kept = top.select("gram", "top", F.explode("all").alias("x")).where(F.col("x.rate") >= rate * F.col("top")).select("gram", F.col("x.lang").alias("lang"))
     number = {lang: k for k, lang in enumerate(languages)}
     grams = [(number[r["lang"]], r["gram"]) for r in kept.toLocalIterator()]
-    counts.unpersist()
+    stage.drop()
     return Filters(languages, grams, [totals[lang] for lang in languages])
 
 
@@ -226,7 +229,7 @@ def predict(df: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: s
                 names, scores, shares = model.value.predict(texts_of(part, "text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(shares), *(part.column(c) for c in ["id", *carried])], names=["lang_pred", "score", "known_share", "id", *carried])
 
-    out = read.mapInArrow(run, schema)
+    out = read.mapInArrow(trimmed(run), schema)
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "known_share", *(F.col(k).alias(c) for k, c in carried.items()))
 
 

@@ -11,9 +11,11 @@ _SET = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where the session names none, as in tests."""
+    """The cluster's shared folder; a temporary one is set only where a local session names none, as in tests."""
     found = spark.conf.get(_SET, None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError(f"{_SET} names no folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import slices, texts_of
+from .arrow import slices, texts_of, trimmed
 from .bpe import prefix_counter
 from .tables import documents
 
@@ -35,7 +35,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "fit_chars", "n_bytes", "prefix_counts"][: len(columns)])
 
     read = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.coalesce(F.octet_length(df[text_col]), F.lit(0)).cast("long").alias("n_bytes"))
-    out = read.mapInArrow(count, schema)
+    out = read.mapInArrow(trimmed(count), schema)
     return out.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars", *["prefix_counts"] * prefixes)
 
 

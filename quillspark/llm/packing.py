@@ -2,7 +2,7 @@
 
 The histogram of piece lengths has at most one row for each length up to the capacity, whatever the corpus. On it the
 driver plans best fit by decreasing length, a group of equal sequences at a time; each length gets ranges of ranks
-with the slots that they take. A piece then finds its slot by its rank among the pieces of its length.
+with the slots that they take. A piece then finds its slot by a join on its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import slices, texts_of
+from .arrow import slices, texts_of, trimmed
 from .bpe import id_encoder
 from .tables import Staged, documents
 
@@ -74,7 +74,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str) -> DataFrame:
     """Every text's pieces: the first holds what the others, of full capacity, leave. part and local_rank number the
     pieces of a length within the task that made them; they are fixed once this is written."""
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
     def cut(batches):
         encoder, part, seen = id_encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -92,27 +92,10 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary:
                         at, end, k = end, end + capacity, k + 1
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("id").take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(which), pa.int32()), pa.array(rank, pa.int64())],
-                    names=[id_col, "piece", "start", "length", "ids_crc32", "part", "local_rank"],
+                    names=["id", "piece", "start", "length", "ids_crc32", "part", "local_rank"],
                 )
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(cut, schema)
-
-
-def place(slots: list[tuple[int, ...]]):
-    """The slot of (length, rank) columns, as arrays of sequence and offset."""
-    table = np.array(sorted(slots), np.int64).reshape(-1, 6)
-
-    def find(length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = table[:, 0], table[:, 1]
-        at = np.empty(len(length), np.int64)
-        for value in np.unique(length):  # ranges of a length stand together, by rank
-            rows = length == value
-            a, b = np.searchsorted(key[0], value, "left"), np.searchsorted(key[0], value, "right")
-            at[rows] = a + np.searchsorted(key[1][a:b], rank[rows], "right") - 1
-        _, first_rank, _, first, per, offset = table[at].T
-        return first + (rank - first_rank) // per, offset + (rank - first_rank) % per * length
-
-    return find
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(trimmed(cut), schema)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -132,17 +115,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     ranked = table.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("local_rank"))
-    find = place(slots)
-
-    def slot(batches):
-        for b in batches:
-            sequence, offset = find(b.column("length").to_numpy(), b.column("rank").to_numpy())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-
-    names = [id_col, "piece", "start", "length", "ids_crc32"]
-    read = ranked.select(*names, "rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*names).schema) + ", sequence_id long, offset long"
-    return read.mapInArrow(slot, schema)
+    # the plan's rows depend on the capacity alone
+    taken = F.broadcast(spark.createDataFrame(slots, "length long, first_rank long, end_rank long, first long, per long, place long"))
+    within = F.col("rank") - F.col("first_rank")
+    placed = ranked.join(taken, "length").where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("first") + F.floor(within / F.col("per"))).alias("sequence_id"), (F.col("place") + F.pmod(within, "per") * F.col("length")).alias("offset"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

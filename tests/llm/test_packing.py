@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import load
-from quillspark.llm.packing import pack, place, plan
+from quillspark.llm.packing import pack, plan
 
 
 def best_fit(lengths, capacity):
@@ -29,12 +29,12 @@ def test_plan_is_plain_best_fit(seed):
     lengths = [rng.randint(1, capacity) for _ in range(rng.randrange(1, 300))]
     histogram = {n: lengths.count(n) for n in set(lengths)}
     slots = plan(histogram, capacity)
-    find, used = place(slots), defaultdict(list)
-    import numpy as np
-
-    for n, count in histogram.items():
-        for s, o in zip(*find(np.full(count, n), np.arange(count)), strict=True):
-            used[s].append((int(o), n))
+    used, taken = defaultdict(list), defaultdict(list)
+    for length, rank, end, first, per, offset in slots:
+        for r in range(rank, end):
+            taken[length].append(r)
+            used[first + (r - rank) // per].append((offset + (r - rank) % per * length, length))
+    assert {n: sorted(ranks) for n, ranks in taken.items()} == {n: list(range(count)) for n, count in histogram.items()}
     assert len(used) == best_fit(lengths, capacity)
     for spans in used.values():
         at = 0

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .tables import Staged
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, stage: Staged, name: str) -> DataFrame:
     """Links each node's larger neighbours to the least of it and its neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stage.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, stage: Staged, name: str) -> DataFrame:
     """Links each node and its smaller neighbours to the least of them. Takes edges with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage.write(edges.groupBy("u").agg(F.min("v").alias("m")), name)
     joined = edges.join(least, "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -25,16 +25,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, stage: Staged, name: str = "components") -> DataFrame:
     """node, component for every node with an edge (columns u, v of one integer type; loops and repeats are allowed).
 
-    component is the smallest node reachable. Each round is a minimum per node with map-side combination and a join,
-    whose large keys adaptive execution can split; rounds grow with the logarithm of the diameter. Every round is
-    written to the shared folder, so lineage stays short and nothing is collected but a count and a checksum.
+    component is the smallest node reachable. Each round is a minimum per node with map-side combination and a join.
+    The minima are written before the join, so that both its sides are plain exchanges, whose large keys (the centres
+    of stars) adaptive execution splits; rounds grow with the logarithm of the diameter. Every round is written to the
+    shared folder, so lineage stays short and nothing is collected but a count and a checksum.
     """
     now = stage.write(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     seen, k = None, 0
     while True:
         k += 1
-        after = stage.write(_small_star(_large_star(now)), f"{name}-{k}")
-        stage.drop(f"{name}-{k - 1}")
+        large = stage.write(_large_star(now, stage, f"{name}-{k}-a"), f"{name}-{k}-large")
+        after = stage.write(_small_star(large, stage, f"{name}-{k}-b"), f"{name}-{k}")
+        for old in (f"{name}-{k - 1}", f"{name}-{k}-a", f"{name}-{k}-b", f"{name}-{k}-large"):
+            stage.drop(old)
         # an exact, order-free fingerprint of the edges
         found = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == seen:

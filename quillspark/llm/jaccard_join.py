@@ -2,16 +2,15 @@
 
 Two sets of sizes r <= s with a Jaccard similarity of at least t percent differ in at most H = (r + s)(100 - t) /
 (100 + t) elements. Sizes are cut into bands so that partners lie in the same or in neighbouring bands; a group is a
-band with the next one, and has the largest H of its pairs. The universe of shingles is dealt by hash into H + 1
-segments, so that two partners agree on the whole of one segment at least. Signatures are hashes of (group, segment,
-the set's elements there); sets of one signature are candidates, and candidates are verified on their whole sets.
-
-Allocation by cost: the list of an empty segment would hold a share of all sets of the group. A set with e empty
-segments of H + 1 leaves them out (if 2e <= H) and publishes instead, for its other segments, also the elements
-without one, which finds partners that differ by one there. If partners agree only on segments that are empty in
-both (say E of them), the other H + 1 - E differ in at least one element each and at least H + 2 - 2E in exactly one;
-at most e + e' - 2E of these have an empty side, which is less, so that one of them is found. A set with 2e > H
-publishes its empty segments as well.
+band with the next one, and has the largest H of its pairs. The universe of shingles is dealt by hash into m segments,
+of which k have a threshold of one and the others of none, with 2k + (m - k) = H + 1: by the pigeonhole principle two
+partners differ in some segment by no more than its threshold. Signatures are hashes of (group, segment, the set's
+elements there) and, in segments with threshold one, also of those elements without one. Sets of one signature are
+candidates, and candidates are verified on their whole sets.
+
+Allocation by cost: more segments mean fewer signatures, as those without threshold need no deletions, but more empty
+segments, whose lists hold a share of all sets of the group. Each group takes the m between (H + 1) / 2 and H + 1 with
+the least sum of signatures and of expected partners by empty segments, from the number of sets in its bands.
 """
 
 from __future__ import annotations
@@ -22,70 +21,101 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import slices, texts_of
+from .arrow import slices, texts_of, trimmed
 from .components import components
 from .shingles import mix, shingle_sets
 from .tables import Staged, documents
 
 WIDTH, PERCENT = 3, 90
-#: Sets in a block of a group that is compared by pairs of blocks; text bytes hashed at once by a task.
-BLOCK = 512
-_SLICE = 4 << 20
+#: Sets, and elements, in a block of a group that is compared by pairs of blocks; text bytes hashed at once by a task;
+#: signatures that a task combines before it sends them; sets that it remembers having met.
+BLOCK, ELEMENTS = 512, 1 << 21
+_SLICE, _COMBINED, _SEEN = 4 << 20, 2_000_000, 200_000
+#: Bits of the filter that keeps sets out of the exact join which no candidate group holds.
+_FILTER_BITS = 26
 _GROUP, _SEGMENT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Bands:
-    """Size bands, and the number of segments of each group."""
-
-    def __init__(self, percent: int, largest: int):
-        starts = [1]
-        while starts[-1] <= largest:
-            starts.append(100 * starts[-1] // percent + 1)
+def band_starts(percent: int, largest: int) -> np.ndarray:
+    starts = [1]
+    while starts[-1] <= largest:
         starts.append(100 * starts[-1] // percent + 1)
-        self.starts = np.array(starts, np.int64)
-        segments = []
-        for k in range(len(starts) - 2):
-            r = starts[k + 1] - 1
-            s = min(starts[k + 2] - 1, 100 * r // percent)
-            segments.append((r + s) * (100 - percent) // (100 + percent) + 1)
-        self.segments = np.array(segments, np.int64)
+    starts.append(100 * starts[-1] // percent + 1)
+    return np.array(starts, np.int64)
+
+
+class Allocation:
+    """Size bands, and each group's segments and how many of them have a threshold of one; no segments where partners
+    can only be equal. counts: sets by band, as far as known."""
+
+    def __init__(self, percent: int, largest: int, counts: dict[int, int] | None = None):
+        self.starts = band_starts(percent, largest)
+        segments, ones = [], []
+        for k in range(len(self.starts) - 2):
+            r = int(self.starts[k + 1]) - 1
+            s = min(int(self.starts[k + 2]) - 1, 100 * r // percent)
+            most = (r + s) * (100 - percent) // (100 + percent)
+            sets = sum((counts or {}).get(band, 0) for band in (k, k + 1))
+            m = self._cheapest(most, int(self.starts[k]), sets) if most else 0
+            segments.append(m)
+            ones.append(most + 1 - m if m else 0)
+        self.segments, self.ones = np.array(segments, np.int64), np.array(ones, np.int64)
+
+    @staticmethod
+    def _cheapest(most: int, size: int, sets: int) -> int:
+        m = np.arange(-(-(most + 1) // 2), most + 2, dtype=np.float64)
+        published = m + (most + 1 - m) * size / m
+        empty = (1 - 1 / m) ** size
+        return int(m[np.argmin(published + sets * m * empty**2)])
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, "right") - 1
 
 
-def signatures(elements: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets, and the set that each is of. Groups of one segment are left out: partners there are equal."""
+def signatures(elements: np.ndarray, bounds: np.ndarray, plan: Allocation) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets, and the set that each is of."""
     sizes = np.diff(bounds)
-    bands = Bands(percent, int(sizes.max(initial=1)))
-    band, owner = bands.of(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    band, owner = plan.of(sizes), np.repeat(np.arange(len(sizes)), sizes)
     mixed, out, owners = mix(elements + _SEGMENT), [], []
     for group in (band - 1, band):
-        m = np.where((group >= 0) & (sizes > 0), bands.segments[np.clip(group, 0, None)], 0)
-        m[m == 1] = 0
-        base = np.cumsum(m) - m
+        there = (group >= 0) & (sizes > 0)
+        m = np.where(there, plan.segments[np.clip(group, 0, None)], 0)
+        ones = np.where(there, plan.ones[np.clip(group, 0, None)], 0)
         at = m[owner] > 0
         doc, own = owner[at], mixed[at]
-        place = base[doc] + (elements[at] % m[doc].astype(np.uint64)).astype(np.int64)
+        base = np.cumsum(m) - m
+        segment = (elements[at] % m[doc].astype(np.uint64)).astype(np.int64)
+        place = base[doc] + segment
         sums = np.zeros(int(m.sum()), np.uint64)
         np.add.at(sums, place, own)
-        counts = np.bincount(place, minlength=len(sums))
         of = np.repeat(np.arange(len(sizes)), m)
         salt = mix(group[of].astype(np.uint64) * _GROUP + (np.arange(len(sums)) - base[of]).astype(np.uint64) * _SEGMENT + np.uint64(1))
-        empty = counts == 0
-        bare = np.bincount(of[empty], minlength=len(sizes))
-        publish = ~empty | (2 * bare[of] > m[of] - 1)
-        out.append(mix(sums + salt)[publish])
-        owners.append(of[publish])
-        if bare.any():
-            near = bare[doc] > 0
+        out.append(mix(sums + salt))
+        owners.append(of)
+        near = segment < ones[doc]
+        if near.any():
             out.append(mix(sums[place[near]] - own[near] + salt[place[near]]))
             owners.append(doc[near])
     return np.concatenate(out), np.concatenate(owners)
 
 
+def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A task's signatures once each, with the first set. Its other sets follow as pairs with the first under a signature
+    of their own, so that one that many sets share sends a row from each task, not from each set."""
+    sig, cls = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(sig, kind="stable")
+    sig, cls = sig[order], cls[order]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+    centre = cls[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+    other = centre != cls
+    pairs = np.unique(np.stack([centre[other], cls[other]]), axis=1)
+    own = mix(pairs[0].view(np.uint64) * _GROUP + mix(pairs[1].view(np.uint64)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[first], own, own]).view(np.int64)), pa.array(np.concatenate([cls[first], *pairs]))], names=["sig", "cls"])
+
+
 def _stars(batches):
-    """Over rows in order of signature: each set of a bucket with the bucket's first, for buckets of several."""
+    """Over rows in order of signature: each set of a bucket with the bucket's first, for buckets of several. A bucket
+    has a row from each task at most (see _combined), and is read in a stream."""
     held = None
     for batch in batches:
         sig, ids = (batch.column(k).to_numpy() for k in range(2))
@@ -174,19 +204,23 @@ def _compared(percent: int):
 
 
 def _linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that join all linked sets of each group (columns id, grp, n of groups; id, elements of sets).
+    """Edges that join all linked sets of each group (columns id, set_hash, grp, n of groups; id, set_hash, elements of
+    sets).
 
-    A group of up to BLOCK sets is compared by one task. In a larger one, sets of a size band are dealt into blocks,
-    and only blocks of the same or neighbouring bands meet, in pairs.
+    A group of up to BLOCK sets and ELEMENTS elements is compared by one task. In a larger one, sets of a size band are
+    dealt into blocks of about so many, and only blocks of the same or neighbouring bands meet, in pairs.
     """
-    bands = Bands(percent, 1 << 40).starts.tolist()
+    bands = band_starts(percent, 1 << 40).tolist()
     band = F.array_size(F.filter(F.array(*map(F.lit, bands)), lambda s: s <= F.col("n"))).cast("int")
     sized = groups.withColumn("band", band)
-    counts = sized.groupBy("grp", "band").agg(F.count("*").alias("size"))
-    blocks = counts.groupBy("grp").agg(F.sum("size").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("size") / BLOCK).cast("int")))).alias("blocks"))
+    counts = sized.groupBy("grp", "band").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+    parts = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("elements") / ELEMENTS)).cast("int")
+    blocks = counts.groupBy("grp").agg(F.sum("size").alias("all"), F.sum("elements").alias("wide"), F.map_from_entries(F.collect_list(F.struct("band", parts))).alias("blocks"))
     dealt = sized.join(blocks.where("all > 1"), "grp")
-    small = dealt.where(F.col("all") <= BLOCK).select("id", "grp", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-    large = dealt.where(F.col("all") > BLOCK).withColumn("part", F.pmod(F.xxhash64("id"), F.try_element_at("blocks", "band")).cast("int"))
+    whole = (F.col("all") <= BLOCK) & (F.col("wide") <= ELEMENTS)
+    zero = F.lit(0).cast("long")
+    small = dealt.where(whole).select("id", "set_hash", "grp", zero.alias("block"), zero.alias("i"), zero.alias("j"))
+    large = dealt.where(~whole).withColumn("part", F.pmod(F.xxhash64("set_hash"), F.try_element_at("blocks", "band")).cast("int"))
     number = lambda band, part: band.cast("long") * (1 << 32) + part
 
     def of_band(near: int):
@@ -196,67 +230,143 @@ def _linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     others = F.concat(*map(of_band, (-1, 0, 1)))
     own = number(F.col("band"), F.col("part"))
-    large = large.select("id", "grp", own.alias("block"), F.explode(others).alias("other"))
-    large = large.select("id", "grp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = small.unionAll(large).join(sets, "id").select("grp", "i", "j", "id", "block", "elements")
+    large = large.select("id", "set_hash", "grp", own.alias("block"), F.explode(others).alias("other"))
+    large = large.select("id", "set_hash", "grp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = small.unionAll(large).join(sets, ["id", "set_hash"]).select("grp", "i", "j", "id", "block", "elements")
     rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return rows.mapInArrow(_compared(percent), "u long, v long")
+    return rows.mapInArrow(trimmed(_compared(percent)), "u long, v long")
+
+
+def _digests(elements: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A set's hash; none for an empty one."""
+    return [xxhash.xxh3_128_digest(elements[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _base(width: int):
+    """Of each text its set's size, hash, and the first half of the hash."""
 
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                elements, bounds = shingle_sets(texts_of(part, "text"), width)
+                digests = _digests(elements, bounds)
+                halves = pa.array([None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(digests, pa.binary()), halves], names=["id", "n_shingles", "set_hash", "cls"])
 
-def _hashes(percent: int, width: int, wanted: str):
-    """Of each text: its set's size and fingerprint, its signatures, or its whole set."""
+    return run
+
+
+def _signed(plan: Allocation, width: int):
+    """Rows (sig, cls) of all sets, cls being the first half of the set's hash."""
 
     def run(batches):
-        seen: set[bytes] = set()
+        # sets that the task has met are left out; forgetting them now and then only repeats their signatures
+        seen: set[bytes | None] = {None}
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 elements, bounds = shingle_sets(texts_of(part, "text"), width)
-                if wanted == "signatures":
-                    # a set that the task has met is left out, so that copies don't swell a signature's bucket
-                    digests = [xxhash.xxh3_128_digest(elements[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-                    new = [k for k, d in enumerate(digests) if d not in seen and not seen.add(d)]
-                    part = part.take(pa.array(new, pa.int64()))
-                    elements = np.concatenate([elements[bounds[k] : bounds[k + 1]] for k in new]) if new else elements[:0]
-                    bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[new])])
-                sizes = np.diff(bounds)
-                if wanted == "signatures":
-                    sig, of = signatures(elements, bounds, percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), part.column("id").take(pa.array(of))], names=["sig", "id"])
+                if len(seen) > _SEEN:
+                    seen = {None}
+                digests = _digests(elements, bounds)
+                new = [k for k, d in enumerate(digests) if d not in seen and not seen.add(d)]
+                if not new:
                     continue
-                each = [elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                if wanted == "sets":
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(each, pa.binary())], names=["id", "elements"])
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(e) if e else None for e in each], pa.binary())], names=["id", "n_shingles", "set_hash"])
+                elements = np.concatenate([elements[bounds[k] : bounds[k + 1]] for k in new])
+                bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[new])])
+                sig, of = signatures(elements, bounds, plan)
+                held.append((sig, np.frombuffer(b"".join(digests[k][:8] for k in new), np.int64)[of]))
+                size += len(sig)
+                if size >= _COMBINED:
+                    yield _combined(held)
+                    held, size = [], 0
+        if held:
+            yield _combined(held)
 
     return run
 
 
+def _in_groups(width: int, wanted):
+    """Whole sets of the texts whose ids pass the filter; a task gives each once."""
+
+    def run(batches):
+        seen: set[tuple] = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(wanted.value, batch.column("id").to_numpy())))
+            for part in slices(batch, "text", _SLICE):
+                elements, bounds = shingle_sets(texts_of(part, "text"), width)
+                if len(seen) > _SEEN:
+                    seen = set()
+                keys = list(zip(part.column("id").to_pylist(), _digests(elements, bounds), strict=True))
+                new = [k for k, key in enumerate(keys) if key[1] and key not in seen and not seen.add(key)]
+                ids, digests = [keys[k][0] for k in new], [keys[k][1] for k in new]
+                each = [elements[bounds[k] : bounds[k + 1]].tobytes() for k in new]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(each, pa.binary())], names=["id", "set_hash", "elements"])
+
+    return run
+
+
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.view(np.uint64) + np.uint64(1))
+    mask = np.uint64((1 << _FILTER_BITS) - 1)
+    return h & mask, (h >> np.uint64(32)) & mask
+
+
+def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    found = np.ones(len(ids), bool)
+    for at in _bits(ids):
+        found &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    return found
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of a long column id. Its size is fixed, and so is what reaches the driver; the more ids, the more
+    others pass it, which the join after it takes out."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.concatenate(_bits(batch.column("id").to_numpy()))
+            word, order = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, order, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    table = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros((1 << _FILTER_BITS) // 64, np.uint64)
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row: id, n_shingles, component_id, the smallest id reachable by links of the given similarity.
 
     Ids are integers; rows that share an id share a component. A null id gives a null component and links nothing; a
-    null or empty text has no shingles and is linked with nothing. Repeated rows are kept; other columns aren't read;
-    an empty table gives no rows. Shingles are compared by 64-bit hashes.
-
-    Rows with equal sets become one class. A task publishes a set's signatures once, for the first row of it that it
-    meets; its ids are led to the class's smallest before groups are compared. Buckets are read in order of signature, in a stream, so that none is gathered. Each gives a star, and
-    the stars' components are the groups in which all candidates lie. A group's sets are compared by whole blocks, of
-    which only edges that join what is linked come back: a group of near copies costs as many rows as it has members
-    (times its blocks), not pairs, and no link between components is lost.
+    null or empty text has no shingles and is linked with nothing. Repeated rows are kept, and the order of rows has no
+    effect; a very long text is one set like any other; other columns aren't read; an empty table gives no rows.
+    Shingles are compared by 64-bit hashes.
+
+    Rows with equal sets become one class. A task publishes each signature once, with the first class that has it, and
+    edges from it to the others, so that no signature is frequent in the shuffle. Buckets are read in order of
+    signature, in a stream. Each gives a star, and the stars' components are the groups in which all candidates lie. A
+    group's sets are compared by whole blocks, of which only edges that join what is linked come back: a group of near
+    copies costs as many rows as it has members (times its blocks), not pairs, and no link between components is lost.
     """
     spark = df.sparkSession
     stage = Staged(spark, "jaccard")
     read = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    base = stage.write(read.mapInArrow(_hashes(percent, width, "base"), "id long, n_shingles long, set_hash binary"), "base")
-    classes = stage.write(base.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n")), "classes")
-    dealt = read.where("id is not null").mapInArrow(_hashes(percent, width, "signatures"), "sig long, id long").repartition("sig").sortWithinPartitions("sig", "id")
+    base = stage.write(read.mapInArrow(trimmed(_base(width)), "id long, n_shingles long, set_hash binary, cls long"), "base")
+    classes = stage.write(base.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("cls").alias("cls")), "classes")
+    largest = classes.agg(F.max("n")).first()[0] or 1
+    starts = band_starts(percent, largest).tolist()
+    bands = classes.select((F.array_size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("n"))) - 1).alias("band"))
+    counts = {r["band"]: r["sets"] for r in bands.groupBy("band").agg(F.count("*").alias("sets")).collect()}  # one row a band
+    plan = Allocation(percent, largest, counts)
+    dealt = read.where("id is not null").mapInArrow(trimmed(_signed(plan, width)), "sig long, cls long").repartition("sig").sortWithinPartitions("sig", "cls")
     stars = stage.write(dealt.mapInArrow(_stars, "u long, v long"), "stars")
-    # the ids published for a class share its signatures, and so a group; they needn't be its rep
-    published = components(stars, stage, "groups").toDF("id", "grp").join(base.select("id", "set_hash"), "id")
-    groups = stage.write(published.select("set_hash", "grp").distinct().join(classes, "set_hash").select(F.col("rep").alias("id"), "grp", "n").distinct(), "groups")
-    # by a shuffle at every size: the ids grow with the input
-    sets = read.join(groups.select("id").hint("shuffle_hash"), "id", "left_semi").mapInArrow(_hashes(percent, width, "sets"), "id long, elements binary")
+    found = components(stars, stage, "groups").toDF("cls", "grp")
+    groups = stage.write(classes.join(found, "cls").select(F.col("rep").alias("id"), "set_hash", "grp", "n"), "groups")
+    wanted = spark.sparkContext.broadcast(id_filter(groups.select("id")))  # of fixed size
+    sets = read.where("id is not null").mapInArrow(trimmed(_in_groups(width, wanted)), "id long, set_hash binary, elements binary")
     edges = stage.write(_linked(groups, sets, percent), "edges")
     labels = components(edges, stage, "components")
     out = base.join(classes.select("set_hash", "rep"), "set_hash", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm import jaccard_join
-from quillspark.llm.jaccard_join import jaccard_components, signatures
+from quillspark.llm.jaccard_join import Allocation, id_filter, jaccard_components, passes, signatures
 
 
 def shingles(text, width=3):
@@ -14,9 +14,9 @@ def shingles(text, width=3):
     return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, width=3):
     """Components of (id, text) rows by all pairs."""
-    sets, parent = [(i, shingles(t)) for i, t in rows], {i: i for i, _ in rows}
+    sets, parent = [(i, shingles(t, width)) for i, t in rows], {i: i for i, _ in rows}
 
     def find(x):
         while parent[x] != x:
@@ -82,19 +82,61 @@ def test_a_chain_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
-def test_partners_share_a_signature():
-    """Small sets, where segments are often empty."""
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("sets", [0, 10**5, 10**9])
+def test_partners_share_a_signature(percent, sets):
+    """Small sets, where segments are often empty, under the allocations for few and for many sets."""
     rng = np.random.default_rng(3)
+    plan = Allocation(percent, 60, dict.fromkeys(range(60), sets))
+    assert all(2 * k + (m - k) >= 2 for m, k in zip(plan.segments, plan.ones) if m)
+    tried = 0
     for _ in range(1500):
-        n = int(rng.integers(9, 45))
+        n = int(rng.integers(5, 45))
         x = rng.integers(0, 2**63, n).astype(np.uint64)
-        y = np.concatenate([x[int(rng.integers(0, 2 + n // 12)) :], rng.integers(0, 2**63, int(rng.integers(0, 2 + n // 20))).astype(np.uint64)])
+        y = np.concatenate([x[int(rng.integers(0, 2 + n // 8)) :], rng.integers(0, 2**63, int(rng.integers(0, 2 + n // 12))).astype(np.uint64)])
         both = len(np.intersect1d(x, y))
-        if 100 * both < 90 * (len(x) + len(y) - both) or both == len(x) == len(y):
+        if 100 * both < percent * (len(x) + len(y) - both) or both == len(x) == len(y):
             continue
         elements, bounds = np.concatenate([np.sort(x), np.sort(y)]), np.array([0, len(x), len(x) + len(y)])
-        sig, of = signatures(elements, bounds, 90)
+        sig, of = signatures(elements, bounds, plan)
         assert set(sig[of == 0]) & set(sig[of == 1])
+        tried += 1
+    assert tried > 200
+
+
+def test_more_sets_mean_fewer_empty_segments():
+    few, many = Allocation(90, 200, {}), Allocation(90, 200, dict.fromkeys(range(60), 10**9))
+    assert (many.segments <= few.segments).all() and (many.segments < few.segments).any()
+
+
+def test_filter_passes_all_its_ids(spark):
+    words = id_filter(spark.range(0, 5000, 7).select("id"))
+    ids = np.arange(5000)
+    found = passes(words, ids)
+    assert found[::7].all() and found.sum() < 760
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_other_widths_thresholds_and_orders(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "ELEMENTS", 300)
+    monkeypatch.setattr(jaccard_join, "_COMBINED", 50)
+    monkeypatch.setattr(jaccard_join, "_SEEN", 20)
+    rng = random.Random(seed)
+    rows = corpus(rng, 250)
+    rows.append((2000, " ".join(f"long{k}" for k in range(30_000))))
+    rows.append((2001, " ".join(f"long{k}" for k in range(500, 30_000))))
+    rng.shuffle(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=5, percent=80).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 80, 5)
+
+
+def test_two_texts_under_one_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words), " ".join(["x", *words[1:]]), " ".join(f"y{k}" for k in range(60))
+    near = c + " more"
+    rows = [(5, a), (5, c), (7, b), (3, near), (9, "alone here")]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(3, 59, 3), (5, 58, 3), (5, 58, 3), (7, 58, 3), (9, 1, 9)]
 
 
 def test_odd_rows(spark):

@@ -18,7 +18,8 @@ def corpus():
         if i % 5 == 0 and rows:
             words = rng.choice(rows)[1].split(" ")
             if i % 10 == 0:
-                words[rng.randrange(len(words))] = "new"
+                for _ in range(rng.randrange(1, 4)):
+                    words[rng.randrange(len(words))] = "new"
         if i % 7 == 0:
             words.insert(rng.randrange(len(words)), f"user{i}@mail.example.com")
         rows.append((i, " ".join(words), lang if i % 11 else None, "s", 0))
@@ -41,7 +42,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     ids = {}
     for i, text, *_ in kept:
         ids[i] = text
-    want = {c for _, _, c in brute(list(ids.items()))}
+    want = {c for _, _, c in brute(list(ids.items()), 80, 5)}
     assert sorted(r.doc_id for r in made[1]) == sorted(want) and len(want) < len(ids)
     for r in made[2]:
         text = ids[r.doc_id]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import jaccard_join, language, packing, personal
 from quillspark.llm.tables import Staged, documents
 
+#: The near-duplicate stage: words in a shingle, and least similarity in per cent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A text of which the chosen language knows less than this share of n-grams is in none of the learned languages.
 LEAST_KNOWN = 0.1
 
@@ -29,14 +31,15 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id. Documents without an id all stay; of rows
     that share an id, one does."""
-    rows = jaccard_join.jaccard_components(docs).where("doc_id is not null")
+    rows = jaccard_join.jaccard_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id is not null")
     ids = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     ids = Staged(spark, "near").write(ids, "ids")
     kept = docs.join(ids.where("times = 1").select("doc_id"), "doc_id", "left_semi")
     if not (repeated := ids.where("times > 1")).isEmpty():
-        # by the order of all columns, so that a repeated run keeps the same row
+        # by the order of all columns as text, so that a repeated run keeps the same row whatever the columns' types
         again = docs.join(repeated.select("doc_id"), "doc_id", "left_semi")
-        least = again.groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("row"))
+        row = F.struct(*(c for c in docs.columns if c != "doc_id"))
+        least = again.groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row"))
         kept = kept.unionByName(least.select("doc_id", "row.*"))
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -2,19 +2,26 @@
 
 Two sets of sizes r <= s with a Jaccard similarity of at least t percent differ in at most H = (r + s)(100 - t) /
 (100 + t) elements. Sizes are cut into bands so that partners lie in the same or in neighbouring bands; a group is a
-band with the next one, and has the largest H of its pairs. The universe of shingles is dealt by hash into m segments,
-of which k have a threshold of one and the others of none, with 2k + (m - k) = H + 1: by the pigeonhole principle two
-partners differ in some segment by no more than its threshold. Signatures are hashes of (group, segment, the set's
-elements there) and, in segments with threshold one, also of those elements without one. Sets of one signature are
-candidates, and candidates are verified on their whole sets.
-
-Allocation by cost: more segments mean fewer signatures, as those without threshold need no deletions, but more empty
-segments, whose lists hold a share of all sets of the group. Each group takes the m between (H + 1) / 2 and H + 1 with
-the least sum of signatures and of expected partners by empty segments, from the number of sets in its bands.
+band with the next one, and has the largest H of its pairs. The universe of shingles is dealt by hash into segments.
+Signatures are hashes of (group, segment, the set's elements there); sets of one signature are candidates, and
+candidates are verified on their whole sets. The list of an empty segment would hold a share of all sets of the group,
+so that each group takes one of two ways to find all partners:
+
+* m = H + 1 + Z segments: partners agree on the whole of Z + 1 at least. A set with at most Z empty segments leaves
+  these out, as one of those that agree isn't empty; only a set with more publishes them, and two such sets agree on
+  published segments alone.
+* m from (H + 1) / 2 to H + 1 segments, k = H + 1 - m of which have a threshold of one: by the pigeonhole principle
+  partners differ in some segment by no more than its threshold. There a set publishes its elements without each one as
+  well; the fewer and larger segments of small sets are seldom empty, and are all published.
+
+Allocation by cost: the way and the m with the least sum of signatures and of expected partners by empty segments, from
+the number of sets in the group's bands.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,29 +51,45 @@ def band_starts(percent: int, largest: int) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
+def _beyond(mean: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Chances that a Poisson number of these means is larger than ``most``."""
+    out = np.ones(len(mean))
+    for i, (mu, z) in enumerate(zip(mean, most)):
+        k = np.arange(int(z) + 1)
+        logs = k * math.log(max(mu, 1e-300)) - mu - np.array([math.lgamma(x + 1) for x in k])
+        out[i] = max(0.0, 1 - float(np.exp(logs).sum()))
+    return out
+
+
 class Allocation:
-    """Size bands, and each group's segments and how many of them have a threshold of one; no segments where partners
-    can only be equal. counts: sets by band, as far as known."""
+    """Size bands, and of each group the segments, how many of them have a threshold of one, and how many empty ones a
+    set may leave out (-1: none); no segments where partners can only be equal. counts: sets by band, as far as known."""
 
     def __init__(self, percent: int, largest: int, counts: dict[int, int] | None = None):
         self.starts = band_starts(percent, largest)
-        segments, ones = [], []
+        rows = []
         for k in range(len(self.starts) - 2):
             r = int(self.starts[k + 1]) - 1
             s = min(int(self.starts[k + 2]) - 1, 100 * r // percent)
             most = (r + s) * (100 - percent) // (100 + percent)
             sets = sum((counts or {}).get(band, 0) for band in (k, k + 1))
-            m = self._cheapest(most, int(self.starts[k]), sets) if most else 0
-            segments.append(m)
-            ones.append(most + 1 - m if m else 0)
-        self.segments, self.ones = np.array(segments, np.int64), np.array(ones, np.int64)
+            rows.append(self._cheapest(most, int(self.starts[k]), sets) if most else (0, 0, -1))
+        self.segments, self.ones, self.slack = np.array(rows, np.int64).reshape(-1, 3).T
 
     @staticmethod
-    def _cheapest(most: int, size: int, sets: int) -> int:
-        m = np.arange(-(-(most + 1) // 2), most + 2, dtype=np.float64)
-        published = m + (most + 1 - m) * size / m
-        empty = (1 - 1 / m) ** size
-        return int(m[np.argmin(published + sets * m * empty**2)])
+    def _cheapest(most: int, size: int, sets: int) -> tuple[int, int, int]:
+        empty = lambda m: (1 - 1 / m) ** size
+        exact = np.unique(np.linspace(most + 1, 2 * most + 4, 40).astype(np.int64)).astype(float)
+        p, slack = empty(exact), exact - most - 1
+        left = _beyond(exact * p, slack)
+        first = exact * (1 - p) + sets * exact * (p * left) ** 2
+        fewer = np.arange(-(-(most + 1) // 2), most + 1, dtype=float)
+        second = fewer + (most + 1 - fewer) * size / fewer + sets * fewer * empty(fewer) ** 2
+        if len(fewer) and second.min() < first.min():
+            m = int(fewer[np.argmin(second)])
+            return m, most + 1 - m, -1
+        m = int(exact[np.argmin(first)])
+        return m, 0, m - most - 1
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, "right") - 1
@@ -80,7 +103,7 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, plan: Allocation) -> tu
     for group in (band - 1, band):
         there = (group >= 0) & (sizes > 0)
         m = np.where(there, plan.segments[np.clip(group, 0, None)], 0)
-        ones = np.where(there, plan.ones[np.clip(group, 0, None)], 0)
+        ones, slack = (np.where(there, x[np.clip(group, 0, None)], 0) for x in (plan.ones, plan.slack))
         at = m[owner] > 0
         doc, own = owner[at], mixed[at]
         base = np.cumsum(m) - m
@@ -90,8 +113,10 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, plan: Allocation) -> tu
         np.add.at(sums, place, own)
         of = np.repeat(np.arange(len(sizes)), m)
         salt = mix(group[of].astype(np.uint64) * _GROUP + (np.arange(len(sums)) - base[of]).astype(np.uint64) * _SEGMENT + np.uint64(1))
-        out.append(mix(sums + salt))
-        owners.append(of)
+        empty = np.bincount(place, minlength=len(sums)) == 0
+        publish = ~empty | (np.bincount(of[empty], minlength=len(sizes)) > slack)[of]
+        out.append(mix(sums + salt)[publish])
+        owners.append(of[publish])
         near = segment < ones[doc]
         if near.any():
             out.append(mix(sums[place[near]] - own[near] + salt[place[near]]))

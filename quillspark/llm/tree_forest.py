@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import trimmed
 from .components import components
 from .tables import Staged, embeddings
 from .vectors import classes, doubles, matrix
@@ -92,14 +93,14 @@ def _assign(forest):
                 for tree in range(forest.value.trees):
                     for path, rows in forest.value.leaves(unit, tree):
                         leaf = f"{dims}/{tree}/{path}"
-                        yield pa.RecordBatch.from_arrays([pa.array([leaf] * len(rows)), part.column("id").take(pa.array(rows))], names=["leaf", "id"])
+                        yield pa.RecordBatch.from_arrays([pa.array([leaf] * len(rows)), part.column("node").take(pa.array(rows))], names=["leaf", "node"])
 
     return run
 
 
 def _compare(least):
     def run(key, table):
-        block, ids, x = table.column("block").to_numpy(), table.column("id").to_numpy(), matrix(table.column("vector"))
+        block, ids, x = table.column("block").to_numpy(), table.column("node").to_numpy(), matrix(table.column("vector"))
         norms = np.linalg.norm(x, axis=1)
         first, second = block == key[1].as_py(), block == key[2].as_py()
         pairs = []
@@ -119,31 +120,34 @@ def _compare(least):
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST) -> DataFrame:
     """One row per row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
 
-    Ids are integers, taken as unique: rows that share an id share links. A null id links nothing and gets a null
-    component; vectors that are null, empty or zero or hold null or non-finite components, and vectors of another length,
-    aren't linked. Equal vectors are one class. An empty table gives no rows; other columns aren't read.
+    Ids are integers. Equal vectors are one class, whose rows are linked with each other; rows that share an id but not
+    the vector are told apart. A null id links nothing and gets a null component; vectors that are null, empty or zero
+    or hold null or non-finite components aren't linked, nor are vectors of different lengths. Repeated rows are rows
+    of their own. An empty table gives no rows; other columns aren't read.
     """
     spark = df.sparkSession
     stage = Staged(spark, "forest")
     rows = stage.write(doubles(df, id_col, vector_col), "rows")
-    reps = stage.write(classes(rows).dropDuplicates(["id"]), "classes")
+    reps = stage.write(classes(rows), "classes")
     n = reps.count()
-    sample = [np.frombuffer(r["vector"], np.float64) for r in reps.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()]
+    sample = [np.frombuffer(r["vector"], np.float64) for r in reps.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vector").collect()]
     forest = spark.sparkContext.broadcast(Forest(sample, max(0, math.ceil(math.log2(max(1, n / LEAF))))))
-    leaves = stage.write(reps.select("id", "vector").mapInArrow(_assign(forest), "leaf string, id long"), "leaves")
+    leaves = stage.write(reps.select("node", "vector").mapInArrow(trimmed(_assign(forest)), "leaf string, node long"), "leaves")
     blocks = leaves.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1").select("leaf", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = leaves.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = leaves.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a row of block k meets every block: as the first of a pair or as the second
-    other = dealt.select("leaf", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = other.select("leaf", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    compared = paired.join(reps.select("id", "vector"), "id").groupBy("leaf", "i", "j")
+    other = dealt.select("leaf", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    paired = other.select("leaf", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    compared = paired.join(reps.select("node", "vector"), "node").groupBy("leaf", "i", "j")
     compared = compared.applyInArrow(lambda key, table: _compare(least)(key, table), "a long, b long")
     pairs = stage.write(compared.distinct(), "pairs")
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("id", "other")
-    links = both.join(reps.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("links"))
-    labels = components(pairs.toDF("u", "v"), stage).toDF("id", "component")
-    table = reps.select("id", "key", "copies").join(links, "id", "left").join(labels, "id", "left")
-    table = table.select("key", F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.coalesce("component", "id")).toDF("key", "n_links", "component_id")
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("node", "other")
+    links = both.join(reps.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("links"))
+    labels = components(pairs.toDF("u", "v"), stage).toDF("node", "component")
+    found = reps.select("key", "node", "id", "copies").join(links, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = stage.write(found.drop("node"), "found")
+    smallest = stage.write(found.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
+    table = stage.write(found.join(smallest, "component").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "table")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = rows.select("id", "key").join(table, "key", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))

@@ -32,8 +32,10 @@ def doubles(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """id, copies, vector of each distinct vector; id is the smallest."""
-    return rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+    """node, id, copies, vector of each distinct vector; node is half of its hash, id the smallest."""
+    node = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+    each = rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+    return each.withColumn("node", node)
 
 
 def matrix(column) -> np.ndarray:

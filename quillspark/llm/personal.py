@@ -1,30 +1,38 @@
-"""Personal data: fixed forms first, then contexts learned from them.
-
-What the fixed forms find are the seeds. The words around seeds are lexical patterns, and tokens with several digits
-or an at sign that no form matched are candidate instances. Patterns and instances make a bipartite graph that Spark
-scores in rounds: a pattern's confidence for a kind is the share of its distinct instances that are of that kind, an
-instance's is one less the product of its patterns' doubts. Candidates of high confidence become spans of that kind.
+"""Personal data: fixed forms first, then contexts bootstrapped from them.
+
+What the fixed forms find are the seeds, and so are values that a name like token or password is given. The words
+around seeds are lexical patterns; tokens that look like identifiers (with a digit, an at sign or an underscore, or
+after a colon or an equals sign) and that no form matched are candidate instances. Patterns and instances make a
+bipartite graph that Spark scores in rounds: a pattern's confidence for a kind is the mass of its instances known to be
+of that kind by its distinct instances and one more, so that few don't make it sure; a candidate's score is one less
+the product of its patterns' doubts. A candidate that a sure pattern holds and whose score is high becomes known, and
+with it the patterns of all its other places gain, so that the next round finds what no seed stands beside. Rounds end
+when nothing new is found.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import slices, texts_of
+from .arrow import slices, texts_of, trimmed
 from .tables import Staged, documents
 
+#: Kinds of the fixed forms, and all kinds, in the order of spans.
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern counts from this many distinct seeds on; what it must be sure of, and instances too; rounds of scoring.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 3
+ALL = (*KINDS, "secret")
+#: What patterns and instances must be sure of.
+CONFIDENCE = 0.8
+#: Least length of a secret that its name tells; characters in which the name is looked for; a longer word of a pattern
+#: stands as its hash.
+SECRET_LENGTH, _NAME, _WORD = 16, 48, 64
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _BEFORE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can't start inside a run of digits whose start failed, as the rest is the same
@@ -33,6 +41,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
+_SIGN = re.compile(r"[0-9@_]|[=:](?=\s)")
+_LETTER = re.compile(r"[A-Za-z]")
+_SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s*+[:=]\s*+[\"']?([A-Za-z0-9_+/.=-]+)")
 _EDGE = "\"'`()[]{}<>,;:.!?|#$%&*="
 
 
@@ -76,49 +87,64 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _words_near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """Two words to the left, one to the right, lower-cased, without marks at their edges; digits as one sign."""
-    # 200 characters hold the words that patterns may use; a longer word is no pattern
-    left = text[max(0, start - 200) : start].split()
-    right = text[end : end + 100].split(None, 1)
-    clean = lambda w: re.sub(r"[0-9]", "0", w.strip(_EDGE).lower())[:40]
-    return [clean(w) for w in left[-2:]], [clean(w) for w in right[:1]]
+def _word(word: str) -> str:
+    """A word of a pattern: lower-cased, digits as one sign, without marks at its edges unless it is nothing else."""
+    word = re.sub(r"[0-9]", "0", (word.strip(_EDGE) or word).lower())
+    return word if len(word) <= _WORD else hashlib.md5(word.encode()).hexdigest()
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    left, right = _words_near(text, start, end)
-    out = []
-    if len(left) == 2 and all(left):
-        out.append(f"{left[0]} {left[1]} _")
-    if left and right and left[-1] and right[0]:
-        out.append(f"{left[-1]} _ {right[0]}")
-    return out
+def _before(text: str, at: int) -> tuple[str, int]:
+    """The word that ends before a place, and its start; empty at the start of a text."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    end = at
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    return text[at:end], at
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with an at sign or three digits at least that touch no base span."""
-    if not _DIGIT.search(text) and "@" not in text:
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """Two words to the left; one to the left and one to the right. Marks that touch the span belong to it."""
+    while start > 0 and text[start - 1] in _EDGE:
+        start -= 1
+    while end < len(text) and text[end] in _EDGE:
+        end += 1
+    near, at = _before(text, start)
+    if not near:
         return []
+    far, right = _before(text, at)[0], _TOKEN.search(text, end)
+    out = [f"{_word(far)} {_word(near)} _"] if far else []
+    return [*out, f"{_word(near)} _ {_word(right[0])}"] if right else out
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int]]:
+    """Tokens that look like identifiers and touch no base span; those that their name tells are secrets."""
     taken, out = sorted((a, b) for _, a, b in base), []
-    k = 0
-    # each digit or at sign leads to its token; tokens without one are never looked at
-    at, sign = 0, re.compile(r"[0-9@]")
-    while m := sign.search(text, at):
+    k = at = 0
+    # each sign leads to its token, or to the one after it; other tokens are never looked at
+    while m := _SIGN.search(text, at):
         start = m.start()
+        if m[0] in "=:":
+            if not (following := _TOKEN.search(text, m.end())):
+                break
+            start = following.start()
         while start > at and not text[start - 1].isspace():
             start -= 1
-        end = _TOKEN.match(text, m.start()).end()
-        at = end
+        end = at = _TOKEN.match(text, max(start, m.start() if m[0] not in "=:" else start)).end()
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if (k == len(taken) or taken[k][0] >= end) and end > start:
-            token = text[start:end]
-            if "@" in token or len(_DIGIT.findall(token)) >= 3:
-                out.append((start, end))
+        if end == start or k < len(taken) and taken[k][0] < end:
+            continue
+        kind = None
+        if end - start >= SECRET_LENGTH and (found := _SECRET.search(text, max(0, start - _NAME), end)) and found.end() == end:
+            value = found[1]
+            if len(value) >= SECRET_LENGTH and _DIGIT.search(value) and _LETTER.search(value):
+                kind, start = "secret", found.start(1)
+        out.append((kind, start, end))
     return out
 
 
@@ -127,72 +153,106 @@ _FOUND = "row long, n_email long, n_ip long, n_card long, n_phone long, base str
 
 def _scan(batches):
     part, row = TaskContext.get().partitionId(), 0
-    links_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.binary()), ("patterns", pa.list_(pa.string()))]))
     for batch in batches:
         for rows in slices(batch, "text"):
-            counts, base, links = {k: [] for k in KINDS}, [], []
+            counts, base = {k: [] for k in KINDS}, []
+            ends, kinds, starts, stops, instances, held, near = [0], [], [], [], [], [0], []
             for text in texts_of(rows, "text").to_pylist():
                 spans = base_spans(text)
                 for kind in KINDS:
                     counts[kind].append(sum(s[0] == kind for s in spans))
                 base.append(joined(spans))
-                seen = [*spans, *((None, a, b) for a, b in candidates(text, spans))] if spans or text else []
-                links.append([{"kind": k, "start": a, "end": b, "instance": hashlib.md5(text[a:b].encode()).digest(), "patterns": patterns(text, a, b)} for k, a, b in seen])
+                for kind, a, b in [*spans, *candidates(text, spans)]:
+                    kinds.append(kind), starts.append(a), stops.append(b)
+                    instances.append(hashlib.md5(text[a:b].encode()).digest())
+                    near += patterns(text, a, b)
+                    held.append(len(near))
+                ends.append(len(kinds))
             n = rows.num_rows
-            ids = pa.array([(part << 40) + row + i for i in range(n)], pa.int64())
-            row += n
-            extra = [rows.column(c) for c in rows.schema.names if c != "text"]
+            each = pa.StructArray.from_arrays(
+                [pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(instances, pa.binary()), pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(near, pa.string()))],
+                names=["kind", "start", "end", "instance", "patterns"],
+            )
             names = [c for c in rows.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base), pa.array(links, links_type), *extra], names=["row", "n_email", "n_ip", "n_card", "n_phone", "base", "links", *names])
-
-
-def discovered(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """instance, kind of the candidates that the pattern-instance graph is sure of."""
-    link = found.select(F.explode("links").alias("l")).select("l.instance", "l.kind", F.explode("l.patterns").alias("pattern")).distinct()
-    # a pattern without seeds enough can't win: it leaves the graph before the rounds
-    seeds = link.where("kind is not null").groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= support).select("pattern")
-    graph = Staged(found.sparkSession, "patterns").write(link.join(seeds, "pattern", "left_semi"), "graph")
-    size = graph.groupBy("pattern").agg(F.countDistinct("instance").alias("size"))
-    known = graph.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    edges = graph.select("instance", "pattern").distinct()
-    unknown = edges.join(known.select("instance"), "instance", "left_anti")
-    scored = None
-    for _ in range(rounds):
-        every = known if scored is None else known.unionByName(scored)
-        sure = edges.join(every, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass")).join(size, "pattern").select("pattern", "kind", (F.col("mass") / F.col("size")).alias("sure"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((np.int64(part) << np.int64(40)) + row + np.arange(n)), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each), *(rows.column(c) for c in names)],
+                names=["row", "n_email", "n_ip", "n_card", "n_phone", "base", "links", *names],
+            )
+            row += n
+
+
+def bootstrap(edges: DataFrame, seeds: DataFrame, stage: Staged, confidence: float = CONFIDENCE) -> DataFrame:
+    """instance, kind, score of all known instances, from distinct (instance, pattern) and the seeds' (instance, kind).
+
+    Each round's tables are written, so that plans stay short and the joins' hot keys can be split."""
+    size = stage.write(edges.groupBy("pattern").agg(F.count("*").alias("size")), "sizes")
+    known = stage.write(seeds.distinct().withColumn("score", F.lit(1.0)), "known-0")
+    first, k = Window.partitionBy("instance").orderBy(F.desc("score"), "kind"), 0
+    while True:
+        k += 1
+        mass = stage.write(edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass")), f"mass-{k}")
+        sure = stage.write(mass.join(size, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("size") + 1)).alias("sure")), f"sure-{k}")
+        # only instances that a sure pattern holds can become known; their other patterns add to the score
+        held = edges.join(sure.where(F.col("sure") >= confidence), "pattern").select("instance", "kind").distinct()
+        new = stage.write(held.join(known.select("instance").distinct(), "instance", "left_anti"), f"held-{k}")
         doubt = F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9))))
-        scored = unknown.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score"))
-    # of what is left, only candidates that one sure pattern at least holds
-    held = unknown.join(sure.where(F.col("sure") >= confidence), "pattern").select("instance", "kind").distinct()
-    first = Window.partitionBy("instance").orderBy(F.desc("score"), "kind")
-    best = scored.join(held, ["instance", "kind"]).where(F.col("score") >= confidence)
-    return best.withColumn("n", F.row_number().over(first)).where("n = 1").select("instance", F.col("kind").alias("new_kind"))
+        scored = stage.write(edges.join(new, "instance").join(sure, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score")), f"scored-{k}")
+        best = scored.where(F.col("score") >= confidence).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+        after = stage.write(known.unionByName(best), f"known-{k}")
+        if after.count() == known.count():
+            return after
+        known = after
+
+
+def discovered(found: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """instance, kind of all that the pattern-instance graph is sure of, seeds included: a secret that its name tells in
+    one place is one in others too."""
+    stage = Staged(found.sparkSession, "patterns")
+    link = stage.write(found.select(F.explode("links").alias("l")).select("l.instance", "l.kind", "l.patterns").distinct(), "links")
+    edges = stage.write(link.select("instance", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    seeds = link.where("kind is not null").select("instance", "kind")
+    every = bootstrap(edges, seeds, stage, confidence)
+    return every.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("score"), "kind")).alias("new_kind"))
+
+
+_SPANS = "array<struct<k:int,a:int,b:int>>"
 
 
-def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """One row per row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, then the columns of ``keep``.
+def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), confidence: float = CONFIDENCE) -> DataFrame:
+    """One row per row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, then the columns of ``keep``.
 
     base_sha256 and the counts are of the fixed forms; spans (kind:start:end in code points, end exclusive) are theirs
-    and those that contexts add, by kind as listed, then start. A null text counts as empty; null ids and repeated
-    rows are kept; ties between kinds go to the first by name; an empty table gives no rows; columns other than
-    ``keep`` aren't read, and names may clash with those of the result.
+    and those that names and contexts add, by kind in the order of ALL, then start; n_added counts the latter. A null
+    text counts as empty; null ids and repeated rows are kept; very long texts are read whole; ties between kinds go to
+    the first by name; an empty table gives no rows; columns other than ``keep`` aren't read, and names may clash with
+    those of the result.
     """
     stage = Staged(df.sparkSession, "personal")
     carried = {f"keep_{k}": c for k, c in enumerate(keep)}
     read = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *(df[c].alias(k) for k, c in carried.items()))
     types = "".join(f", {k} {read.schema[k].dataType.simpleString()}" for k in ["id", *carried])
-    found = stage.write(read.mapInArrow(_scan, _FOUND + types), "found")
-    new = stage.write(discovered(found, support, confidence), "discovered")
+    found = stage.write(read.mapInArrow(trimmed(_scan), _FOUND + types), "found")
+    new = stage.write(discovered(found, confidence), "discovered")
+    place = lambda kind: F.array_position(F.array(*map(F.lit, ALL)), kind).cast("int")
     cand = found.select("row", F.explode("links").alias("l")).where("l.kind is null").select("row", "l.start", "l.end", "l.instance")
-    added = cand.join(new, "instance").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("new_kind")).alias("k"), F.col("start").alias("a"), F.col("end").alias("b")))).alias("added"))
+    added = cand.join(new, "instance").groupBy("row").agg(F.collect_list(F.struct(place(F.col("new_kind")).alias("k"), F.col("start").alias("a"), F.col("end").alias("b"))).alias("added"))
     # only rows with candidates meet the discoveries; the others, and their texts, aren't shuffled
-    any_left = F.exists("links", lambda x: x["kind"].isNull())
-    parts = [found.where(~any_left).withColumn("added", F.lit(None).cast("array<struct<k:bigint,a:int,b:int>>")), found.where(any_left).join(added, "row", "left")]
-    rows = reduce(DataFrame.unionByName, parts) if not new.isEmpty() else found.withColumn("added", F.lit(None).cast("array<struct<k:bigint,a:int,b:int>>"))
-    base = F.transform(F.filter("links", lambda x: x["kind"].isNotNull()), lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["start"].alias("a"), x["end"].alias("b")))
-    every = F.array_sort(F.concat(base, F.coalesce("added", F.expr("array()").cast("array<struct<k:bigint,a:int,b:int>>"))))
-    named = F.transform(every, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["k"].cast("int")), s["a"], s["b"]))
-    return rows.select(F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), F.array_join(named, ",").alias("spans"), *(F.col(k).alias(c) for k, c in carried.items()))
+    any_left, none = F.exists("links", lambda x: x["kind"].isNull()), F.lit(None).cast(_SPANS)
+    rows = found.where(~any_left).withColumn("added", none).unionByName(found.where(any_left).join(stage.write(added, "added"), "row", "left"))
+    known = F.transform(F.filter("links", lambda x: x["kind"].isNotNull()), lambda x: F.struct(place(x["kind"]).alias("k"), x["start"].alias("a"), x["end"].alias("b")))
+    every = F.array_sort(F.concat(known, F.coalesce("added", F.array().cast(_SPANS))))
+    named = F.transform(every, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, ALL)), s["k"]), s["a"], s["b"]))
+    return rows.select(
+        F.col("id").alias(id_col),
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2("base", 256).alias("base_sha256"),
+        F.array_join(named, ",").alias("spans"),
+        (F.size(every) - F.col("n_email") - F.col("n_ip") - F.col("n_card") - F.col("n_phone")).cast("long").alias("n_added"),
+        *(F.col(k).alias(c) for k, c in carried.items()),
+    )
 
 
 def _masked(text: str | None, spans: str) -> str | None:

@@ -5,16 +5,16 @@ from __future__ import annotations
 import math
 import string
 
-from .licenses import CONTAINMENT, PHRASES, TEMPLATES, words_of
+from .licenses import TEMPLATES, words_of
 from .tree_forest import LEAST
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def license_scan() -> str:
-    """Phrases by place, and each line against each template."""
+    """Phrases by place, and every block of every text against each template."""
     found = []
-    for phrase, label in PHRASES.items():
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
         words = phrase.split()
         same = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(words))
         found.append((label, f"list_filter(range(1, len(words) - {len(words)} + 2), lambda i: {same})"))
@@ -22,17 +22,20 @@ def license_scan() -> str:
     every = "list_concat(list_concat(p0, p1), p2)"
     base = "list_sort(list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (label, _) in enumerate(found)) + "], lambda x: x IS NOT NULL))"
     rows = []
-    for label, text in TEMPLATES:
-        words = sorted(set(words_of(text)))
-        rows.append(f"('{label}', [{', '.join(repr(w) for w in words)}], {math.ceil(CONTAINMENT * len(words) - 1e-9)})")
+    for label, text, must in TEMPLATES:
+        every_word = words_of(text)
+        words, needed = ([f"'{w}'" for w in sorted(set(x))] for x in (every_word, words_of(must)))
+        rows.append(f"('{label}', [{', '.join(words)}], {math.ceil(0.8 * len(words) - 1e-9)}, {math.ceil(len(every_word) / 0.8 - 1e-9)}, [{', '.join(needed)}])")
     low = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low FROM documents),
       w AS (SELECT r, doc_id, regexp_extract_all(low, '{_WORD}') AS words FROM d),
       p AS (SELECT r, doc_id, len(words) AS n_words, {places} FROM w),
       b AS (SELECT r, doc_id, n_words, {every} AS places, {base} AS base FROM p),
-      t(label, words, need) AS (VALUES {', '.join(rows)}),
-      l AS (SELECT r, list_distinct(regexp_extract_all(line, '{_WORD}')) AS words FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
-      m AS (SELECT l.r, t.label, len(list_intersect(l.words, t.words)) AS common, len(t.words) AS size, t.need FROM l, t),
+      t(label, words, need, block, must) AS (VALUES {', '.join(rows)}),
+      c AS (SELECT w.r, w.words AS own, t.* FROM w, t WHERE len(list_intersect(list_distinct(w.words), t.words)) >= t.need AND len(list_intersect(list_distinct(w.words), t.must)) = len(t.must)),
+      k AS (SELECT r, own, label, words, need, block, must, unnest(range(1, greatest(len(own) - block + 1, 1) + 1)) AS i FROM c),
+      l AS (SELECT r, label, words, need, must, list_distinct(own[i:i + block - 1]) AS part FROM k),
+      m AS (SELECT r, label, len(list_intersect(part, words)) AS common, len(words) AS size, need FROM l WHERE len(list_intersect(part, must)) = len(must)),
       g AS (SELECT r, list(DISTINCT label) AS labels, max(common / size) AS contained FROM m WHERE common >= need GROUP BY r)
     SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(base, ',') AS base_labels,
       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, CAST([] AS VARCHAR[]))))), ',') AS labels,

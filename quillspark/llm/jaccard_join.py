@@ -14,6 +14,10 @@ so that each group takes one of two ways to find all partners:
   partners differ in some segment by no more than its threshold. There a set publishes its elements without each one as
   well; the fewer and larger segments of small sets are seldom empty, and are all published.
 
+Sets of a bucket become candidates of each other only if counts of their elements by hash differ by H at most, as the
+sum of such differences is no larger than that of the sets; so sets that share a passage or an empty segment and little
+else aren't led into one group, and groups stay near what is linked.
+
 Allocation by cost: the way and the m with the least sum of signatures and of expected partners by empty segments, from
 the number of sets in the group's bands.
 """
@@ -35,9 +39,15 @@ from .tables import Staged, documents
 
 WIDTH, PERCENT = 3, 90
 #: Sets, and elements, in a block of a group that is compared by pairs of blocks; text bytes hashed at once by a task;
-#: signatures that a task combines before it sends them; sets that it remembers having met.
-BLOCK, ELEMENTS = 512, 1 << 21
-_SLICE, _COMBINED, _SEEN = 4 << 20, 2_000_000, 200_000
+#: signatures that a task combines before it sends them, and a signature's sets from which on it does; sets, or buckets,
+#: that it remembers having met; rows of a bucket from which on all its sets are candidates, whatever their counts.
+BLOCK, ELEMENTS = 2048, 1 << 21
+_SLICE, _COMBINED, _OFTEN, _SEEN, _WHOLE = 4 << 20, 2_000_000, 64, 200_000, 1 << 15
+#: Counts of a set's elements by hash, of one byte each.
+_COUNTS = 64
+#: What an expected partner by chance costs, in signatures: partners join whole groups, so that there should be far fewer
+#: than one a set.
+_PARTNER = 1000
 #: Bits of the filter that keeps sets out of the exact join which no candidate group holds.
 _FILTER_BITS = 26
 _GROUP, _SEGMENT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -79,12 +89,12 @@ class Allocation:
     @staticmethod
     def _cheapest(most: int, size: int, sets: int) -> tuple[int, int, int]:
         empty = lambda m: (1 - 1 / m) ** size
-        exact = np.unique(np.linspace(most + 1, 2 * most + 4, 40).astype(np.int64)).astype(float)
+        exact = np.unique(np.linspace(most + 1, 2 * most + 8, 60).astype(np.int64)).astype(float)
         p, slack = empty(exact), exact - most - 1
         left = _beyond(exact * p, slack)
-        first = exact * (1 - p) + sets * exact * (p * left) ** 2
+        first = exact * (1 - p) + _PARTNER * sets * exact * (p * left) ** 2
         fewer = np.arange(-(-(most + 1) // 2), most + 1, dtype=float)
-        second = fewer + (most + 1 - fewer) * size / fewer + sets * fewer * empty(fewer) ** 2
+        second = fewer + (most + 1 - fewer) * size / fewer + _PARTNER * sets * fewer * empty(fewer) ** 2
         if len(fewer) and second.min() < first.min():
             m = int(fewer[np.argmin(second)])
             return m, most + 1 - m, -1
@@ -125,36 +135,107 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, plan: Allocation) -> tu
 
 
 def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """A task's signatures once each, with the first set. Its other sets follow as pairs with the first under a signature
-    of their own, so that one that many sets share sends a row from each task, not from each set."""
+    """A task's signatures with their sets. One that many sets of the task have is sent once, marked as whole; these sets
+    follow as pairs with the first under signatures of their own. So a signature has a bounded number of rows from each
+    task, however frequent it is."""
     sig, cls = (np.concatenate(x) for x in zip(*held))
-    order = np.argsort(sig, kind="stable")
+    order = np.lexsort((cls, sig))
     sig, cls = sig[order], cls[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    centre = cls[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-    other = centre != cls
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(sig)))
+    often = np.repeat(sizes > _OFTEN, sizes)
+    centre = np.repeat(cls[starts], sizes)
+    other = often & (centre != cls)
     pairs = np.unique(np.stack([centre[other], cls[other]]), axis=1)
     own = mix(pairs[0].view(np.uint64) * _GROUP + mix(pairs[1].view(np.uint64)))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[first], own, own]).view(np.int64)), pa.array(np.concatenate([cls[first], *pairs]))], names=["sig", "cls"])
+    sent = ~often | first
+    whole = np.concatenate([often[sent], np.ones(2 * len(own), bool)])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[sent], own, own]).view(np.int64)), pa.array(np.concatenate([cls[sent], *pairs])), pa.array(whole)], names=["sig", "cls", "whole"])
 
 
-def _stars(batches):
-    """Over rows in order of signature: each set of a bucket with the bucket's first, for buckets of several. A bucket
-    has a row from each task at most (see _combined), and is read in a stream."""
+def _buckets(batches, columns: tuple[str, ...]):
+    """Over rows in order of (sig, cls), a table at a time: whole buckets, with the places where each starts. The last of a
+    table goes on in the next one, but a bucket of _WHOLE rows is cut: its first row, marked as whole, starts the next."""
     held = None
     for batch in batches:
-        sig, ids = (batch.column(k).to_numpy() for k in range(2))
-        if not len(sig):
+        table = pa.Table.from_batches([batch]).select(list(columns))
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if not held.num_rows:
             continue
-        if held is not None:
-            sig, ids = np.concatenate([[held[0]], sig]), np.concatenate([[held[1]], ids])
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        centre = ids[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-        held = sig[-1], centre[-1]
-        edge = centre != ids
-        if edge.any():
-            pairs = np.unique(np.stack([centre[edge], ids[edge]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+        sig = held.column("sig").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        last = int(starts[-1])
+        if len(starts) > 1:
+            yield held.slice(0, last), starts[:-1]
+            held = held.slice(last)
+        if held.num_rows > _WHOLE:
+            at = held.schema.get_field_index("whole")
+            held = held.set_column(at, "whole", pa.array(np.ones(held.num_rows, bool)))
+            yield held, np.array([0])
+            held = held.slice(0, 1)
+    if held is not None and held.num_rows:
+        sig = held.column("sig").to_numpy()
+        yield held, np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+
+
+def _shared(batches):
+    """The rows of signatures that several sets have."""
+    for table, starts in _buckets(batches, ("sig", "cls", "whole")):
+        cls = table.column("cls").to_numpy()
+        new = np.concatenate([[True], cls[1:] != cls[:-1]])
+        new[starts] = True  # rows are in order of cls, so that repeats of a set stand together
+        distinct = np.add.reduceat(new.astype(np.int64), starts)
+        sizes = np.diff(np.append(starts, len(cls)))
+        keep = np.repeat(distinct > 1, sizes) & (new | table.column("whole").to_numpy())
+        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _alike(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Of one bucket: the first set of the component that each is in by small enough differences of counts."""
+    root, left = np.arange(len(sizes)), np.arange(len(sizes))
+    while len(left):
+        seed, left = left[0], left[1:]
+        front = np.array([seed])
+        while len(front) and len(left):
+            hit = np.zeros(len(left), bool)
+            for at in range(0, len(front), max(1, (1 << 22) // (_COUNTS * len(left)))):
+                some = front[at : at + max(1, (1 << 22) // (_COUNTS * len(left)))]
+                apart = np.abs(counts[some][:, None] - counts[left][None]).sum(2, dtype=np.int64)
+                hit |= (apart * (100 + percent) <= (sizes[some][:, None] + sizes[left][None]) * (100 - percent)).any(0)
+            front, left = left[hit], left[~hit]
+            root[front] = seed
+    return root
+
+
+def _candidates(percent: int):
+    """Over rows (sig, cls, whole, n, counts) in order of (sig, cls): edges that join each bucket's candidates."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for table, starts in _buckets(batches, ("sig", "cls", "whole", "n", "counts")):
+            cls, whole, sizes = (table.column(c).to_numpy() for c in ("cls", "whole", "n"))
+            counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, _COUNTS).astype(np.int16)
+            ends = np.append(starts[1:], len(cls))
+            pair = ends - starts == 2
+            a = starts[pair]
+            near = whole[a] | whole[a + 1] | (np.abs(counts[a] - counts[a + 1]).sum(1, dtype=np.int64) * (100 + percent) <= (sizes[a] + sizes[a + 1]) * (100 - percent))
+            u, v = [cls[a[near]]], [cls[a[near] + 1]]
+            if len(seen) > _SEEN:
+                seen = set()
+            for a, b in zip(starts[~pair].tolist(), ends[~pair].tolist()):
+                # partners share many buckets, which often hold the same sets
+                key = xxhash.xxh3_64_intdigest(cls[a:b].tobytes(), seed=int(whole[a:b].any()))
+                if b - a == 1 or key in seen:
+                    continue
+                seen.add(key)
+                root = np.zeros(b - a, np.int64) if whole[a:b].any() else _alike(counts[a:b], sizes[a:b], percent)
+                own = root != np.arange(b - a)
+                u.append(cls[a + root[own]]), v.append(cls[a:b][own])
+            found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+
+    return run
 
 
 def _links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
@@ -168,9 +249,9 @@ def _links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percen
     owner = owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        lo, hi = np.searchsorted(column, [start, start + 4096])
-        part = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - start)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, [start, start + 2048])
+        part = np.zeros((len(sets), min(2048, int(column[-1]) + 1 - start)), np.float32)
         part[owner[lo:hi], column[lo:hi] - start] = 1
         both += part[first] @ part[second].T
     union = sizes[first][:, None] + sizes[second][None, :] - both
@@ -268,7 +349,7 @@ def _digests(elements: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 
 
 def _base(width: int):
-    """Of each text its set's size, hash, and the first half of the hash."""
+    """Of each text its set's size, hash, the first half of the hash, and counts of elements by hash (255 at most)."""
 
     def run(batches):
         for batch in batches:
@@ -276,7 +357,11 @@ def _base(width: int):
                 elements, bounds = shingle_sets(texts_of(part, "text"), width)
                 digests = _digests(elements, bounds)
                 halves = pa.array([None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(digests, pa.binary()), halves], names=["id", "n_shingles", "set_hash", "cls"])
+                sizes = np.diff(bounds)
+                place = np.repeat(np.arange(len(sizes)) * _COUNTS, sizes) + (elements >> np.uint64(40)).astype(np.int64) % _COUNTS
+                counts = np.minimum(np.bincount(place, minlength=_COUNTS * len(sizes)), 255).astype(np.uint8).tobytes()
+                counts = pa.array([counts[k : k + _COUNTS] for k in range(0, len(counts), _COUNTS)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(digests, pa.binary()), halves, counts], names=["id", "n_shingles", "set_hash", "cls", "counts"])
 
     return run
 
@@ -300,8 +385,9 @@ def _signed(plan: Allocation, width: int):
                 elements = np.concatenate([elements[bounds[k] : bounds[k + 1]] for k in new])
                 bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[new])])
                 sig, of = signatures(elements, bounds, plan)
-                held.append((sig, np.frombuffer(b"".join(digests[k][:8] for k in new), np.int64)[of]))
-                size += len(sig)
+                if len(sig):
+                    held.append((sig, np.frombuffer(b"".join(digests[k][:8] for k in new), np.int64)[of]))
+                    size += len(sig)
                 if size >= _COMBINED:
                     yield _combined(held)
                     held, size = [], 0
@@ -370,24 +456,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     effect; a very long text is one set like any other; other columns aren't read; an empty table gives no rows.
     Shingles are compared by 64-bit hashes.
 
-    Rows with equal sets become one class. A task publishes each signature once, with the first class that has it, and
-    edges from it to the others, so that no signature is frequent in the shuffle. Buckets are read in order of
-    signature, in a stream. Each gives a star, and the stars' components are the groups in which all candidates lie. A
+    Rows with equal sets become one class. A task publishes a frequent signature once, with the first class that has it,
+    and edges from it to the others, so that no signature is frequent in the shuffle. Buckets are read in order of
+    signature, in a stream. Each gives edges that join its candidates, whose components are the groups. A
     group's sets are compared by whole blocks, of which only edges that join what is linked come back: a group of near
     copies costs as many rows as it has members (times its blocks), not pairs, and no link between components is lost.
     """
     spark = df.sparkSession
     stage = Staged(spark, "jaccard")
     read = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    base = stage.write(read.mapInArrow(trimmed(_base(width)), "id long, n_shingles long, set_hash binary, cls long"), "base")
-    classes = stage.write(base.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("cls").alias("cls")), "classes")
+    base = stage.write(read.mapInArrow(trimmed(_base(width)), "id long, n_shingles long, set_hash binary, cls long, counts binary"), "base")
+    classes = stage.write(base.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("cls").alias("cls"), F.any_value("counts").alias("counts")), "classes")
     largest = classes.agg(F.max("n")).first()[0] or 1
     starts = band_starts(percent, largest).tolist()
     bands = classes.select((F.array_size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("n"))) - 1).alias("band"))
     counts = {r["band"]: r["sets"] for r in bands.groupBy("band").agg(F.count("*").alias("sets")).collect()}  # one row a band
     plan = Allocation(percent, largest, counts)
-    dealt = read.where("id is not null").mapInArrow(trimmed(_signed(plan, width)), "sig long, cls long").repartition("sig").sortWithinPartitions("sig", "cls")
-    stars = stage.write(dealt.mapInArrow(_stars, "u long, v long"), "stars")
+    dealt = read.where("id is not null").mapInArrow(trimmed(_signed(plan, width)), "sig long, cls long, whole boolean").repartition("sig").sortWithinPartitions("sig", "cls")
+    shared = stage.write(dealt.mapInArrow(_shared, "sig long, cls long, whole boolean"), "shared")
+    counted = shared.join(classes.select("cls", "n", "counts"), "cls").select("sig", "cls", "whole", "n", "counts")
+    near = counted.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(trimmed(_candidates(percent)), "u long, v long")
+    stars = stage.write(near, "stars")
     found = components(stars, stage, "groups").toDF("cls", "grp")
     groups = stage.write(classes.join(found, "cls").select(F.col("rep").alias("id"), "set_hash", "grp", "n"), "groups")
     wanted = spark.sparkContext.broadcast(id_filter(groups.select("id")))  # of fixed size

@@ -5,11 +5,13 @@ Each view is one SELECT that Spark and DuckDB both run; the oracle of every quer
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .store import Store
+from .store import Store, shared_dir
 
 VIEWS = {
     "articles": """
@@ -34,7 +36,7 @@ VIEWS = {
         SELECT CAST(l.l_orderkey AS STRING) AS pmid, CAST(l.l_suppkey AS STRING) AS author_key,
                CAST(l.l_linenumber AS INT) AS position, l.l_linenumber = 1 AS is_first,
                l.n > 1 AND l.l_linenumber = l.n AS is_last, CAST(l.n AS INT) AS n_authors,
-               concat('Dept ', CAST(l.l_suppkey % 7 AS STRING), ', ', r.r_name, ' University, ', CAST(10000 + s.s_suppkey AS STRING), ' ', n.n_name,
+               concat('Dept ', CAST(l.l_orderkey % (5 + l.l_suppkey % 100) AS STRING), ', ', r.r_name, ' University, ', CAST(10000 + s.s_suppkey AS STRING), ' ', n.n_name,
                       CASE WHEN s.s_suppkey % 3 = 0 THEN '. Electronic address: a@b.org' ELSE '.' END) AS affiliation,
                n.n_name AS country
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS k,
@@ -80,15 +82,74 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def driver_store(spark: SparkSession, sf_dir: str) -> Store:
-    """The store of the views over a driver folder, with its vocabulary."""
+#: Files that the orders' records are dealt to, and folders that this process has made.
+FILES = 16
+_MADE: set[str] = set()
+#: Tables that are written in order of a column, so that a filter on it reads few row groups.
+SORTED = {"postings": "term", "document_postings": "term", "vocabulary": "name_lc"}
+
+
+def driver_views(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of the views over a driver folder."""
+    views = {name: (lambda sql=sql: _select(spark, sf_dir, sql)) for name, sql in VIEWS.items()}
+    documents = lambda: driver_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pmid"), "text")
+    return Store(spark, views | {"document_texts": documents})
+
+
+def derived(store: Store) -> Store:
+    """A store with its vocabulary, and with postings and lengths of its articles and of its other texts."""
+    from .operators import retrieval
     from .operators.concepts import build_vocabulary
 
-    store = Store(spark, {})
-    store._makers = {name: (lambda sql=sql: _select(spark, sf_dir, sql)) for name, sql in VIEWS.items()} | {"vocabulary": lambda: build_vocabulary(store)}
+    makers = {"vocabulary": lambda: build_vocabulary(out)}
+    for name, texts in (("postings", lambda: retrieval.document_text(out)), ("document_postings", lambda: out["document_texts"])):
+        makers[name] = lambda texts=texts: retrieval.postings(texts())
+        makers[name.replace("postings", "lengths")] = lambda name=name: retrieval.lengths(out[name])
+    out = Store(store.spark, store._makers | makers)
+    return out
+
+
+def driver_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The same, built once in an application: every table is written when it is first used, and then read."""
+    return derived(driver_views(spark, sf_dir)).kept(sf_dir, SORTED)
+
+
+def build(spark: SparkSession, sf_dir: str) -> Store:
+    """Writes every table of the store now."""
+    store = driver_store(spark, sf_dir)
+    for name in store.names():
+        store[name]
     return store
 
 
+#: Articles as records of two files: orders, then newer versions of some and deletions of others.
+_RECORD = """concat('<PubmedArticle><MedlineCitation Status="', o_orderstatus, '"><PMID>', pmid, '</PMID><DateRevised><Year>', revised, '</Year></DateRevised><Article><Journal><JournalIssue><PubDate><Year>', year(o_orderdate), '</Year><Month>', date_format(o_orderdate, 'MMM'), '</Month></PubDate></JournalIssue><Title>Journal ', o_custkey % 97, '</Title></Journal><ArticleTitle>', title, ' <i>of</i> ', o_orderpriority, '</ArticleTitle><Abstract><AbstractText Label="AIM">to sell</AbstractText></Abstract><AuthorList><Author><LastName>Buyer', o_custkey, '</LastName><ForeName>Ann</ForeName></Author><Author><CollectiveName>Group ', o_custkey % 5, '</CollectiveName></Author></AuthorList><Language>eng</Language></Article><MedlineJournalInfo><MedlineTA>J', o_custkey % 97, '</MedlineTA><NlmUniqueID>', o_custkey % 97, '</NlmUniqueID></MedlineJournalInfo></MedlineCitation></PubmedArticle>')"""
+
+
+def driver_records(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of gzip files of XML records, made from the orders once in an application: FILES files of them all, and
+    one that revises every fiftieth and deletes every 101st."""
+    path = f"{shared_dir(spark).rstrip('/')}/records-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+    if path not in _MADE:
+        orders = driver_table(spark, sf_dir, "orders").withColumn("pmid", F.col("o_orderkey").cast("string"))
+        record = F.expr(_RECORD)
+        first = orders.withColumns({"file": F.pmod("o_orderkey", F.lit(FILES)).cast("string"), "revised": F.lit("2000"), "title": F.lit("First")})
+        second = orders.where("o_orderkey % 50 = 0").withColumns({"file": F.lit("later"), "revised": F.lit("2001"), "title": F.lit("Newer")})
+        gone = orders.where("o_orderkey % 101 = 0").select(F.lit("later").alias("file"), F.concat(F.lit("<DeleteCitation><PMID>"), "pmid", F.lit("</PMID></DeleteCitation>")).alias("record"))
+        rows = first.unionAll(second).select("file", record.alias("record")).unionAll(gone)
+        # a file holds a bounded part of the table, as a file of daily records does
+        whole = rows.groupBy("file").agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list("record"), ""), F.lit("</PubmedArticleSet>")).alias("value"))
+        whole.write.mode("overwrite").partitionBy("file").option("compression", "gzip").text(path)
+        _MADE.add(path)
+    return path
+
+
+def records_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text: the first version of each record."""
+    orders = driver_table(spark, sf_dir, "orders").withColumns({"pmid": F.col("o_orderkey").cast("string"), "revised": F.lit("2000"), "title": F.lit("First")})
+    return orders.select(F.col("o_orderkey").alias("id"), F.expr(_RECORD).alias("text"))
+
+
 def _select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SELECT over the folder's Parquet files, without registering views in the session."""
     used = {t for t in DRIVER_TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}

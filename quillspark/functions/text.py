@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 INSTITUTION_WORDS = "University|Universit|Institut|Hospital|College|Center|Centre|School|Clinic"
 
 
+#: How a country is read from the end of an affiliation.
+NOTE, FULL_STOP, POSTAL_CODE, COUNTRY_LENGTH = r"(?i)\s*(electronic address|email)\s*:.*\z", r"\.\s*\z", r"^\d{4,6}\s*", 60
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, non-breaking spaces included."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
@@ -16,9 +20,9 @@ def strip(x: Column) -> Column:
 
 def country_from_affiliation(x: Column) -> Column:
     """The last comma-separated part, without a trailing e-mail note, full stop or leading postal code, of 60 characters at most."""
-    bare = F.regexp_replace(F.regexp_replace(x, r"(?i)\s*(electronic address|email)\s*:.*\z", ""), r"\.\s*\z", "")
+    bare = F.regexp_replace(F.regexp_replace(x, NOTE, ""), FULL_STOP, "")
     last = strip(F.element_at(F.split(bare, ","), -1))
-    return F.substring(F.regexp_replace(last, r"^\d{4,6}\s*", ""), 1, 60)
+    return F.substring(F.regexp_replace(last, POSTAL_CODE, ""), 1, COUNTRY_LENGTH)
 
 
 def institution_from_affiliation(x: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from ..functions.text import institution_from_affiliation, snippet
 from ..store import Store
 from .concepts import scope_summary, scoped_articles
 
+#: The year taken where no article has one, and the weights of first, last and recent papers.
 UNKNOWN_YEAR = 2026
+W_FIRST, W_LAST, W_RECENT = 1.5, 2.0, 1.0
 CAVEATS = {
     "authors": "People are told apart by ORCID where one is given, else by surname and first initial, so that namesakes may be counted as one.",
     "countries": "Countries are read from the end of affiliations and are not checked.",
@@ -86,14 +89,15 @@ def year_quantile(years: DataFrame, q: float) -> DataFrame:
 
 def recent_cutoff(store: Store, recent_since: int | None = None) -> int:
     """The first recent year: the one before the 99th percentile, which a few mistyped years don't move."""
-    if recent_since:
+    if recent_since is not None:
         return recent_since
     year = year_quantile(store["articles"], 0.99).first()["year"]
     return (UNKNOWN_YEAR if year is None else year) - 1
 
 
-def rank_authors(store: Store, concept_id=None, country=None, since_year=None, limit: int = 20, w_first: float = 1.5, w_last: float = 2.0, w_recent: float = 1.0, expand: bool = True, recent_since: int | None = None) -> Result:
-    """Leading people of a scope by papers, with more for first, last and recent ones; groups are left out.
+def rank_authors(store: Store, concept_id=None, country=None, since_year=None, limit: int = 20, w_first: float = W_FIRST, w_last: float = W_LAST, w_recent: float = W_RECENT, expand: bool = True, recent_since: int | None = None) -> Result:
+    """Leading people of a scope by papers, with more for first, last and recent ones; groups are left out. The
+    affiliation is the newest that is given.
 
     country is taken literally, as a part of the country's name, whatever the case. pmid and position are the key of
     authorships, but a person may have two positions on a paper, so papers are counted distinct."""
@@ -112,7 +116,7 @@ def rank_authors(store: Store, concept_id=None, country=None, since_year=None, l
         F.count_if("is_last").alias("n_last"),
         F.max("pub_year").alias("latest_year"),
         F.mode("country", True).alias("main_country"),
-        F.max_by("affiliation", F.struct("pub_year", "pmid", "affiliation")).alias("affiliation"),
+        F.max_by("affiliation", F.when(F.col("affiliation").isNotNull(), F.struct("pub_year", "pmid", "affiliation"))).alias("affiliation"),
         F.count_if(F.col("pub_year") >= since).alias("n_recent"),
     )
     score = F.col("n_papers") + w_first * F.col("n_first") + w_last * F.col("n_last") + w_recent * F.col("n_recent")
@@ -162,15 +166,21 @@ def article_record(store: Store, pmid: str) -> DataFrame:
 
 
 def corpus_stats(store: Store) -> DataFrame:
-    """One row: sizes of the tables and the range of years, whole and of the core 95 %."""
-    articles = store["articles"].agg(F.count("*").alias("articles"), F.count("abstract").alias("with_abstract"), F.min("pub_year").alias("first_year"), F.max("pub_year").alias("last_year"))
-    out = articles.withColumn("one", F.lit(1))
-    for name, q in (("core_first_year", 0.025), ("core_last_year", 0.975)):
-        out = out.join(year_quantile(store["articles"], q).select(F.col("year").alias(name), F.lit(1).alias("one")), "one")
-    for table, name in (("journals", "journals"), ("authors", "authors"), ("authorships", "authorships"), ("citations", "citations"), ("substances", "substance_rows"), ("vocabulary", "concepts")):
-        out = out.join(store[table].agg(F.count("*").alias(name)).withColumn("one", F.lit(1)), "one")
-    distinct = store["vocabulary"].agg(F.countDistinct("concept_id").alias("distinct_concepts")).withColumn("one", F.lit(1))
-    return out.join(distinct, "one").drop("one")
+    """One row: sizes of the tables and the range of years, whole and of the core 95 %.
+
+    Articles are read once, for a histogram with a row a year; other tables give only their counts."""
+    years = store["articles"].groupBy("pub_year").agg(F.count("*").alias("n"), F.count("abstract").alias("a"))
+    everyone, upto = Window.partitionBy(), Window.orderBy(F.asc_nulls_last("pub_year"))
+    known = F.when(F.col("pub_year").isNotNull(), F.col("n"))
+    ranked = years.select("pub_year", "n", "a", F.sum(known).over(upto).alias("upto"), F.sum(known).over(everyone).alias("all"))  # a row a year
+    core = lambda q: F.min(F.when(F.col("pub_year").isNotNull() & (F.col("upto") > F.floor((F.col("all") - 1) * q + 0.5)), F.col("pub_year")))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = ranked.agg(whole("n").alias("articles"), whole("a").alias("with_abstract"), F.min("pub_year").alias("first_year"), F.max("pub_year").alias("last_year"), core(0.025).alias("core_first_year"), core(0.975).alias("core_last_year"))
+    sizes = [("journals", "journals"), ("authors", "authors"), ("authorships", "authorships"), ("citations", "citations"), ("substances", "substance_rows")]
+    counts = [store[table].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for table, name in sizes]
+    words = store["vocabulary"].agg(F.count("*").alias("concepts"), F.countDistinct("concept_id").alias("distinct_concepts"))
+    every = reduce(DataFrame.unionAll, counts).agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for _, name in sizes))
+    return out.join(F.broadcast(every)).join(F.broadcast(words))  # one row each
 
 
 def articles_by_id(store: Store, pmids: list[str]) -> DataFrame:

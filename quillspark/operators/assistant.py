@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..store import Store
-from . import analytics, concepts
+from . import analytics, concepts, retrieval
 
 MAX_STEPS, MAX_OBSERVATION = 6, 6000
 
@@ -53,6 +53,18 @@ def register(name: str, f: Callable) -> None:
     REGISTRY[name] = f
 
 
+def register_search(index, sizes=None, vectors=None, encode=None, stemmed: bool = False) -> None:
+    """Adds ``search_literature`` over an index, and over vectors if an encoder is given; its rows are a sample."""
+
+    def search_literature(store: Store, query: str, k: int = 8, since_year: int | None = None) -> dict:
+        """The papers that best fit a text, which are a sample and never a total."""
+        found = retrieval.search(store, index, query, k, since_year, vectors, encode, stemmed=stemmed, sizes=sizes)
+        return {"results": [r.asDict(recursive=True) for r in found["rows"].collect()], "retrievers": found["retrievers"], "exact": found["exact"]}
+
+    search_literature.parameters = ["query", "k", "since_year"]
+    register("search_literature", search_literature)
+
+
 def call(store: Store, name: str, args: dict) -> dict:
     """The tool's answer; an unknown tool or a wrong argument is an error that says so."""
     if name not in REGISTRY:

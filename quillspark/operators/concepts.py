@@ -81,14 +81,10 @@ def name_index(store: Store) -> DataFrame:
 
 
 def _grams(text: str) -> list[tuple[str, int, int]]:
+    """Runs of one to four words with their lengths and places; a single word counts if it is long enough and no stop word."""
     words = re.findall(r"[a-z0-9\-]+", text.lower())
-    out = []
-    for n in (4, 3, 2, 1):
-        for i in range(len(words) - n + 1):
-            gram = " ".join(words[i : i + n])
-            if n > 1 or gram not in STOP_WORDS and len(gram) >= 4:
-                out.append((gram, n, i))
-    return out
+    runs = ((words[i : i + n], n, i) for i in range(len(words)) for n in range(1, min(4, len(words) - i) + 1))
+    return [(" ".join(run), n, i) for run, n, i in runs if n > 1 or len(run[0]) > 3 and run[0] not in STOP_WORDS]
 
 
 def spot(store: Store, text: str, limit: int = 5) -> DataFrame:

@@ -10,29 +10,32 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Every STRIDE-th record is profiled; attributes that say nothing of content.
+#: Every STRIDE-th record is profiled by default in other tools; here stride is an argument of ``profile``.
 STRIDE = 13
-SKIPPED_ATTRIBUTES = frozenset({"class", "style", "id", "lang", "dir"})
-#: Canonical slots with the names under which they are usually found, best first.
+#: Attributes that say nothing of content, and the canonical slots with the names under which they are
+#: usually found, best first.
+SKIPPED_ATTRIBUTES = frozenset({"UI", "Version", "ValidYN", "CompleteYN", "MajorTopicYN"})
 SLOTS = {
-    "id": ["pmid", "id", "identifier", "uid", "accession"],
-    "title": ["articletitle", "title", "headline", "name"],
-    "abstract": ["abstracttext", "abstract", "summary", "description"],
-    "year": ["year", "pubyear", "date", "published"],
-    "journal": ["isoabbreviation", "journaltitle", "journal", "source", "publisher"],
-    "author_last": ["lastname", "surname", "family"],
-    "author_first": ["forename", "firstname", "given", "initials"],
-    "affiliation": ["affiliation", "institution", "organization"],
-    "keyword": ["keyword", "subject", "tag", "topic"],
-    "language": ["language", "lang"],
-    "doi": ["doi", "elocationid"],
-    "reference": ["reference", "citation", "cites"],
-    "grant": ["grantid", "grant", "funding", "award"],
-    "type": ["publicationtype", "type", "category"],
+    "document.id": ["pmid", "id", "nct_id", "accession", "docid", "identifier"],
+    "document.title": ["articletitle", "title", "brief_title", "official_title", "name"],
+    "document.text": ["abstracttext", "abstract", "brief_summary", "description", "detailed_description", "textblock", "summary"],
+    "document.date": ["pubdate", "start_date", "date", "completion_date", "date_revised", "effective_time"],
+    "document.language": ["language", "lang"],
+    "document.type": ["publicationtype", "study_type", "doc_type", "type"],
+    "person.name": ["lastname", "forename", "author", "last_name", "first_name", "investigator", "overall_official", "collectivename"],
+    "person.identifier": ["orcid", "identifier"],
+    "org.name": ["affiliation", "agency", "sponsor", "facility", "institution", "labeler", "manufacturer"],
+    "org.country": ["country", "nation"],
+    "substance.name": ["nameofsubstance", "intervention_name", "drug", "substance", "activeingredient", "genericname", "brandname"],
+    "substance.code": ["registrynumber", "unii", "rxcui", "cas", "ndc"],
+    "condition.name": ["descriptorname", "condition", "indication", "mesh_term", "keyword"],
+    "venue.name": ["journal", "title", "medlineta", "source", "registry"],
 }
+#: Attributes of pages that only lay them out.
+LAYOUT_ATTRIBUTES = frozenset({"class", "style", "id", "lang", "dir"})
 
 
 def detect(head: str) -> dict:
@@ -73,7 +76,7 @@ class _Paths(HTMLParser):
     def handle_starttag(self, tag, attrs):
         path = "/".join([*self.stack, tag])
         self.found.append([path, ""])
-        self.found += [[f"{path}@{k}", v or ""] for k, v in attrs if k not in SKIPPED_ATTRIBUTES]
+        self.found += [[f"{path}@{k}", v or ""] for k, v in attrs if k not in LAYOUT_ATTRIBUTES]
         if tag not in self._EMPTY:
             self.stack.append(tag)
 
@@ -116,8 +119,9 @@ def _xml_paths(text: str) -> list[tuple[str, str]]:
 
 
 def profile(df: DataFrame, id_col: str, text_col: str, kind: str = "xml", stride: int = 1) -> DataFrame:
-    """path, records, coverage (per cent of records), repeats (per cent of those with the path more than once),
-    mean_length of non-empty texts, sample: one row for each path. stride profiles every so many records by id."""
+    """path, records, coverage (per cent of records), repeats (per cent of those with the path more than once), most (the
+    largest number in a record), mean_length of non-empty texts, samples (up to three texts, the first in order): one
+    row for each path. stride profiles every so many records by id."""
     parse = {"xml": _xml_paths, "html": _html_paths}[kind]
     rows = df.where(F.col(id_col) % stride == 0) if stride > 1 else df
 
@@ -135,9 +139,13 @@ def profile(df: DataFrame, id_col: str, text_col: str, kind: str = "xml", stride
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(paths, pa.string()), pa.array(n, pa.int64()), pa.array(texts, pa.string()), pa.array(lengths, pa.float64())], names=["id", "path", "n", "sample", "length"])
 
     found = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id string, path string, n long, sample string, length double")
-    counts = found.groupBy("path").agg(F.count("*").alias("records"), F.round(100.0 * F.count_if(F.col("n") > 1) / F.count("*"), 1).alias("repeats"), F.round(F.avg("length"), 1).alias("mean_length"), F.min("sample").alias("sample"))
+    counts = found.groupBy("path").agg(F.count("*").alias("records"), F.round(100.0 * F.count_if(F.col("n") > 1) / F.count("*"), 1).alias("repeats"), F.max("n").alias("most"), F.round(F.avg("length"), 1).alias("mean_length"))
+    first = Window.partitionBy("path").orderBy("sample")
+    few = found.where("sample is not null").select("path", "sample").distinct().withColumn("k", F.row_number().over(first)).where("k <= 3")
+    samples = few.groupBy("path").agg(F.array_sort(F.collect_list("sample")).alias("samples"))  # three at most
     total = rows.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total)).select("path", "records", F.round(100.0 * F.col("records") / F.col("total"), 1).alias("coverage"), "repeats", "mean_length", "sample")
+    out = counts.join(samples, "path", "left").join(F.broadcast(total))
+    return out.select("path", "records", F.round(100.0 * F.col("records") / F.col("total"), 1).alias("coverage"), "repeats", "most", "mean_length", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def profile_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

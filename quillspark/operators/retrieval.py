@@ -48,6 +48,11 @@ def postings(docs: DataFrame, id_col: str = "pmid", text_col: str = "text", stem
     return counts.join(stems, "term").groupBy("doc", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
+def lengths(index: DataFrame) -> DataFrame:
+    """doc, dl: the terms of each text of an index."""
+    return index.groupBy("doc").agg(F.sum("tf").alias("dl"))
+
+
 def query_terms(query: str, stemmed: bool = False) -> list[str]:
     import re
 
@@ -55,16 +60,17 @@ def query_terms(query: str, stemmed: bool = False) -> list[str]:
     return sorted({stem(w) for w in words} if stemmed else set(words))
 
 
-def bm25(index: DataFrame, query: str, k: int = 10, stemmed: bool = False) -> DataFrame:
+def bm25(index: DataFrame, query: str, k: int = 10, stemmed: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """doc, score of the k best texts that hold a term of the query; ties go to the smaller doc.
 
-    The index is read once for lengths and once for the query's terms, by a filter on the term that reaches the scan."""
-    lengths = index.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    Of the index only the query's terms are read, by a filter on the term that reaches the scan; ``sizes`` is its table of
+    lengths, which is made from the whole index where it isn't given."""
+    sizes = lengths(index) if sizes is None else sizes
+    corpus = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     terms = query_terms(query, stemmed)
     hits = index.where(F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(df), "term").join(lengths, "doc").join(F.broadcast(corpus))  # a row a query term; one row
+    rows = hits.join(F.broadcast(df), "term").join(sizes, "doc").join(F.broadcast(corpus))  # a row a query term; one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("doc").agg(F.sum(idf * part).alias("score"))
@@ -93,15 +99,15 @@ def fuse(pools: list[DataFrame], k: int | None = None) -> DataFrame:
     return fused.limit(k) if k else fused
 
 
-def search(store: Store, index: DataFrame, query: str, k: int = 8, since_year: int | None = None, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, post_filter: bool = False, stemmed: bool = False) -> dict:
+def search(store: Store, index: DataFrame, query: str, k: int = 8, since_year: int | None = None, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, post_filter: bool = False, stemmed: bool = False, sizes: DataFrame | None = None) -> dict:
     """Rows of the k best papers, and which retrievers took part.
 
     A year is asked of papers before their ranks are fused, so that k of them come back; post_filter asks it after."""
     meta = store["articles"].select(F.col("pmid").alias("doc"), "title", "pub_year", "nlm_id", "doi", "abstract")
     allowed = meta.where(F.col("pub_year") >= since_year).select("doc") if since_year else None
     if allowed is not None and not post_filter:
-        index = index.join(allowed, "doc", "left_semi")
-    pools, used = [bm25(index, query, 5 * k, stemmed)], ["bm25"]
+        index, sizes = index.join(allowed, "doc", "left_semi"), None  # lengths of the allowed texts alone
+    pools, used = [bm25(index, query, 5 * k, stemmed, sizes)], ["bm25"]
     if vectors is not None and encode is not None:
         if allowed is not None and not post_filter:
             vectors = vectors.join(allowed.withColumnRenamed("doc", "pmid"), "pmid", "left_semi")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..adapter import driver_store, driver_table
+from ..adapter import driver_records, driver_store, driver_table, records_text
 from ..functions.text import country_from_affiliation
 from ..operators import analytics as A
 from ..operators import concepts as C
 from ..operators import profiler, refine, retrieval, sqlforms
-from ..streaming import events
-from . import oracles
+from ..sources import records
+from ..store import shared_dir
+from ..streaming import events, incremental
+from . import oracles, routes
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The concept, its narrower nation, the people, papers and texts that the registered queries ask for.
@@ -31,21 +34,73 @@ def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def _documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = driver_table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("pmid"), "text")
-    # ASCII letters only, as the oracle's regular expressions know no others
-    words = docs.select(F.col("pmid").alias("doc"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term"))
-    return words.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-
-
 def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return driver_table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
 
 
+def _bm25(spark: SparkSession, sf_dir: str, k: int, stemmed: bool = False) -> DataFrame:
+    store = driver_store(spark, sf_dir)
+    if stemmed:
+        return retrieval.bm25(retrieval.postings(store["document_texts"], stemmed=True), SEARCH, k, stemmed=True)
+    return retrieval.bm25(store["document_postings"], SEARCH, k, sizes=store["document_lengths"])
+
+
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = retrieval.bm25(_documents_index(spark, sf_dir), SEARCH, 40)
     near = retrieval.nearest_vectors(driver_store(spark, sf_dir)["vectors"], _vector(spark, sf_dir), 40)
-    return _rounded(retrieval.fuse([words, near], 20), "score", places=8)
+    return _rounded(retrieval.fuse([_bm25(spark, sf_dir, 40), near], 20), "score", places=8)
+
+
+def _literature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search over the articles' texts and the vectors, as the tool gives it."""
+    store = driver_store(spark, sf_dir)
+    found = retrieval.search(store, store["postings"], SEARCH, vectors=store["vectors"], encode=lambda _: _vector(spark, sf_dir), sizes=store["lengths"])
+    return _rounded(found["rows"].drop("snippet"), "score", places=8)
+
+
+def _ingested(table: str, *columns: str) -> Query:
+    """A table of the store that the XML records give: files are parsed, the newest versions win, deletions are applied."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = records.read_records(spark, driver_records(spark, sf_dir), "*.gz")
+        return refine.refine(records.tables_of(rows), spark)[table].select(*columns)
+
+    return run
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of the same files, by way of the stream that lands new ones."""
+    source = driver_records(spark, sf_dir)
+    landed, checkpoint = f"{source}-landed", f"{source}-stream"
+    incremental.start(spark, source, landed, checkpoint, "*.gz").awaitTermination()
+    return incremental.store_of(spark, landed)["articles"].select(*ARTICLE)
+
+
+def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords written as header-less CSV shards and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    store = driver_store(spark, sf_dir)
+    store["keywords"].select("pmid", "term", F.when(F.col("is_major"), "1").otherwise("0").alias("is_major")).write.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    back = {"keywords": refine.read_csv_shards(spark, path, "keywords"), "articles": store["articles"].select("pmid", "date_revised")}
+    return refine.refine(back, spark)["keywords"]
+
+
+def _answered(path: str, **params) -> Query:
+    """The rows that a request's answer holds."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        answer = routes.handle(driver_store(spark, sf_dir), path, params)
+        return spark.createDataFrame([(k, str(v)) for k, v in sorted(answer.items()) if k not in ("ms", "results")] + [(f"row {i}", ", ".join(f"{k}={v}" for k, v in sorted(r.items()))) for i, r in enumerate(answer.get("results", []))], "name string, value string")
+
+    return run
+
+
+def _joined(**shown) -> list[Column]:
+    """Arrays of structs as text, in their order."""
+    return [F.array_join(F.transform(name, f), "; ").alias(name) for name, f in shown.items()]
+
+
+#: Columns of an ingested article that the files set.
+ARTICLE = ("pmid", "nlm_id", "title", "abstract", "pub_year", "pub_month", "language", "status", "date_revised")
 
 
 @cache
@@ -70,7 +125,7 @@ def queries() -> dict[str, Query]:
         "trial_links": _store(lambda s: A.find_trials(s, TOPIC).rows),
         "top_cited": _store(lambda s: A.top_cited(s).rows),
         "topic_overlap": _store(lambda s: A.compare_concepts(s, TOPIC, OTHER_TOPIC)),
-        "article_record": _store(lambda s: A.article_record(s, PMID).select("pmid", "title", "medline_ta", F.size("authors").cast("long").alias("n_authors"), F.size("headings").cast("long").alias("n_headings"), F.size("substances").cast("long").alias("n_substances"), F.size("keywords").cast("long").alias("n_keywords"), "references_total", "references_in_corpus", "cited_by_in_corpus")),
+        "article_record": _store(lambda s: A.article_record(s, PMID).select("pmid", "title", "medline_ta", *_joined(authors=lambda a: F.concat_ws("|", a["position"], a["author_key"], a["display_name"], a["orcid"], a["affiliation"]), headings=lambda h: h["descriptor_name"], substances=lambda x: F.concat_ws("|", x["substance_ui"], x["substance_name"], x["registry_number"]), keywords=lambda k: k["term"], types=lambda x: x["type_name"]), "references_total", "references_in_corpus", "cited_by_in_corpus")),
         "taxonomy_descendants": _store(lambda s: C.descendants(s, TOPIC)),
         "scope_pmids": _store(lambda s: C.scope_pmids(s, TOPIC)),
         "scope_summary": _store(lambda s: C.scope_summary(s, TOPIC)),
@@ -83,15 +138,29 @@ def queries() -> dict[str, Query]:
         "apply_deletes": _store(lambda s: s["articles"].join(s["deleted_pmids"], "pmid", "left_anti").select("pmid", "pub_year")),
         "country_parse": _store(lambda s: s["authorships"].select("pmid", "position", country_from_affiliation(F.col("affiliation")).alias("parsed"))),
         "sql_journals": _store(lambda s: sqlforms.run(s, "journals_of_substance", name="new widget")),
-        "sql_drugs": _store(lambda s: sqlforms.run(s, "drugs_of_heading", name="NATION_9")),
-        "sql_kol": _store(lambda s: sqlforms.run(s, "leading_authors", name="NATION_9", recent=2000)),
-        "sql_ambiguity": _store(lambda s: sqlforms.run(s, "ambiguous_authors", more=1)),
-        "sql_topic": _store(lambda s: sqlforms.run(s, "topic_papers", name="AMERICA")),
-        "doc_text": _store(lambda s: retrieval.document_text(s, truncate=2000).select("pmid", "text")),
-        "bm25_topk": lambda spark, d: _rounded(retrieval.bm25(_documents_index(spark, d), SEARCH, 20), "score"),
+        "sql_drugs": _store(lambda s: sqlforms.run(s, "drugs_of_substance", name="new widget")),
+        "sql_kol": _store(lambda s: sqlforms.run(s, "leading_authors", name="new widget", recent=2000)),
+        "sql_ambiguity": _store(lambda s: sqlforms.run(s, "ambiguous_authors", more=sqlforms.MORE)),
+        "sql_topic": _store(lambda s: sqlforms.run(s, "topic_papers", concept=TOPIC)),
+        "doc_text": _store(lambda s: retrieval.document_text(s).select("pmid", "text")),
+        "store_listing": _store(lambda s: s.listing()),
+        "store_keys": _store(lambda s: refine.build_report(s)),
+        "bm25_topk": lambda spark, d: _rounded(_bm25(spark, d, 20), "score"),
+        "bm25_stemmed": lambda spark, d: _rounded(_bm25(spark, d, 20, stemmed=True), "score"),
+        "literature_search": _literature,
+        "xml_articles": _ingested("articles", *ARTICLE),
+        "xml_authorships": _ingested("authorships", "pmid", "author_key", "position", "is_first", "is_last", "n_authors"),
+        "xml_journals": _ingested("journals", "nlm_id", "medline_ta", "title"),
+        "xml_incremental": _landed,
+        "xml_profile": lambda spark, d: profiler.profile(records_text(spark, d), "id", "text").where("path like 'MedlineCitation/%'").select("path", "records", "coverage", "repeats", "most"),
+        "csv_shards": _shards,
+        "route_trend": _answered("/api/trend", concept_id=TOPIC),
+        "route_countries": _answered("/api/countries", limit="5"),
+        "route_unknown": _answered("/api/nothing"),
         "vector_topk": lambda spark, d: _rounded(retrieval.nearest_vectors(driver_store(spark, d)["vectors"], _vector(spark, d), 20), "score"),
         "hybrid_rrf": _hybrid,
         "html_profile": lambda spark, d: profiler.profile_pages(driver_table(spark, d, "pages"), "page_id", "html"),
+        "sample_stride": lambda spark, d: profiler.profile(records_text(spark, d), "id", "text", stride=profiler.STRIDE).agg(F.max("records").alias("records")),
         "event_tumbling": lambda spark, d: events.tumbling(driver_table(spark, d, "events")),
         "event_sessions": lambda spark, d: events.sessions(driver_table(spark, d, "events")).select("user_id", "session", "n_events"),
     }

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 
 from ..adapter import VIEWS
-from ..operators.concepts import EXACT, INSIDE, LEADING, STOP_WORDS, VARIANT, _grams, spellings
+from ..operators.analytics import CAVEATS
+from ..operators.concepts import EXACT, INSIDE, LEADING, VARIANT, _grams, spellings
 from ..operators.retrieval import B, K1, RRF
-from ..operators.sqlforms import SQL
+from ..operators.retrieval import STOP_WORDS as STOP
+from ..operators.sqlforms import MORE, SQL
+from ..schema import KEYS
+from .routes import routes
 
 _EXTRA = {
     "vocabulary": """
@@ -84,16 +88,29 @@ def all_of(topic, other, author, journal, pmid, ids, text, sentence, search) ->
         return f"SELECT concept_id, concept_name, kind, code, n_papers, matched, words FROM (SELECT i.* EXCLUDE (k), g.matched, g.words, row_number() OVER (PARTITION BY concept_id ORDER BY words DESC, place) AS k FROM ({index}) i JOIN (SELECT CAST(a AS VARCHAR) AS matched, CAST(b AS INT) AS words, c AS place FROM (VALUES {rows}) t(a, b, c)) g ON i.name_lc = g.matched) WHERE k = 1 ORDER BY words DESC, n_papers DESC, concept_id LIMIT {limit}"
 
     terms = ", ".join(f"'{w}'" for w in search.split())
-    words = "SELECT doc, term, count(*) AS tf FROM (SELECT CAST(doc_id AS VARCHAR) AS doc, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents WHERE lang = 'en') GROUP BY 1, 2"
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    indexed = lambda doc, table: f"SELECT doc, term, count(*) AS tf FROM (SELECT {doc} AS doc, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM {table}) WHERE term NOT IN ({stop}) GROUP BY 1, 2"
+    words = indexed("CAST(doc_id AS VARCHAR)", "documents")
     bm25 = f"""SELECT w.doc, sum(ln(1 + (c.n - d.df + 0.5e0) / (d.df + 0.5e0)) * w.tf / (w.tf + {K1}e0 * (1 - {B}e0 + {B}e0 * l.dl / c.avgdl))) AS score
         FROM words w JOIN (SELECT term, count(*) AS df FROM words GROUP BY 1) d ON w.term = d.term JOIN (SELECT doc, sum(tf) AS dl FROM words GROUP BY 1) l ON w.doc = l.doc,
              (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT sum(tf) AS dl FROM words GROUP BY doc)) c
         WHERE w.term IN ({terms}) GROUP BY w.doc ORDER BY score DESC, w.doc"""
     near = "SELECT CAST(e.vec_id AS VARCHAR) AS doc, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z ORDER BY score DESC, doc"
-    fused = f"""SELECT doc, round(sum(part), 8) AS score FROM (
+    fused = lambda n: f"""SELECT doc, round(sum(part), 8) AS score FROM (
         SELECT doc, 1e0 / ({RRF} + row_number() OVER (ORDER BY score DESC, doc)) AS part FROM (SELECT * FROM ({bm25}) LIMIT 40)
-        UNION ALL SELECT doc, 1e0 / ({RRF} + row_number() OVER (ORDER BY score DESC, doc)) FROM (SELECT * FROM ({near}) LIMIT 40)) GROUP BY doc ORDER BY sum(part) DESC, doc LIMIT 20"""
-    assert STOP_WORDS
+        UNION ALL SELECT doc, 1e0 / ({RRF} + row_number() OVER (ORDER BY score DESC, doc)) FROM (SELECT * FROM ({near}) LIMIT 40)) GROUP BY doc ORDER BY sum(part) DESC, doc LIMIT {n}"""
+    whole = """SELECT a.pmid, concat(coalesce(j.medline_ta, ''), ' (', coalesce(CAST(a.pub_year AS VARCHAR), 'n.d.'), '). ', coalesce(a.title, ''), chr(10), coalesce(m.names, ''), ' ', coalesce(s.names, ''), chr(10), a.abstract) AS text
+            FROM articles a LEFT JOIN journals j ON a.nlm_id = j.nlm_id LEFT JOIN (SELECT pmid, string_agg(descriptor_name, '; ' ORDER BY descriptor_name) AS names FROM mesh_headings GROUP BY 1) m ON a.pmid = m.pmid
+            LEFT JOIN (SELECT pmid, string_agg(substance_name, '; ' ORDER BY substance_name) AS names FROM substances GROUP BY 1) s ON a.pmid = s.pmid WHERE a.abstract IS NOT NULL"""
+    # the records of the generated files: newest versions, without the deleted ones
+    kept = "SELECT *, o_orderkey % 50 = 0 AS newer FROM orders WHERE o_orderkey % 101 <> 0"
+    tables = ("articles", "journals", "authors", "authorships", "mesh_tree", "mesh_headings", "substances", "keywords", "citations", "publication_types", "grants", "databank_links", "synonyms", "deleted_pmids", "vectors", "vocabulary")
+    listed = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in tables)
+    listed += " UNION ALL SELECT 'document_texts', count(*) FROM documents UNION ALL SELECT 'document_postings', count(*) FROM words UNION ALL SELECT 'document_lengths', count(DISTINCT doc) FROM words UNION ALL SELECT 'postings', count(*) FROM own_words UNION ALL SELECT 'lengths', count(DISTINCT doc) FROM own_words"
+    keyed = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows, count(DISTINCT ({', '.join(k)},)) AS n_keys FROM {t}" for t, k in KEYS.items())
+    path = "MedlineCitation"
+    leaves = {p: 1 for p in ("PMID", "DateRevised", "DateRevised/Year", "Article", "Article/Journal", "Article/Journal/JournalIssue", "Article/Journal/JournalIssue/PubDate", "Article/Journal/JournalIssue/PubDate/Year", "Article/Journal/JournalIssue/PubDate/Month", "Article/Journal/Title", "Article/ArticleTitle", "Article/ArticleTitle/i", "Article/Abstract", "Article/Abstract/AbstractText", "Article/Abstract/AbstractText@Label", "Article/AuthorList", "Article/AuthorList/Author/LastName", "Article/AuthorList/Author/ForeName", "Article/AuthorList/Author/CollectiveName", "Article/Language", "MedlineJournalInfo", "MedlineJournalInfo/MedlineTA", "MedlineJournalInfo/NlmUniqueID")} | {"Article/AuthorList/Author": 2}
+    profiled = ", ".join(f"('{path}/{p}', {n})" for p, n in leaves.items())
     in_ids = ", ".join(f"'{i}'" for i in ids)
     count = lambda t, of="*": f"(SELECT count({of}) FROM {t})"
     return {
@@ -118,7 +135,11 @@ def all_of(topic, other, author, journal, pmid, ids, text, sentence, search) ->
         "top_cited": q(f"SELECT c.pmid, c.cited_by, a.title, a.pub_year, j.medline_ta FROM (SELECT cited_pmid AS pmid, count(*) AS cited_by FROM citations WHERE cited_pmid IN (SELECT pmid FROM articles) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) c JOIN articles a ON a.pmid = c.pmid LEFT JOIN {jr} j ON a.nlm_id = j.nlm_id"),
         "topic_overlap": q("""SELECT papers_a, papers_b, "both", round(100e0 * "both" / papers_a, 1) AS share_of_a, round(100e0 * "both" / papers_b, 1) AS share_of_b FROM (
             SELECT (SELECT count(*) FROM scoped) AS papers_a, (SELECT count(*) FROM articles WHERE pmid IN (SELECT pmid FROM second)) AS papers_b, (SELECT count(*) FROM scoped WHERE pmid IN (SELECT pmid FROM second)) AS "both")"""),
-        "article_record": q(f"""SELECT a.pmid, a.title, j.medline_ta, {count(f"authorships WHERE pmid = '{pmid}'")} AS n_authors, {count(f"mesh_headings WHERE pmid = '{pmid}'")} AS n_headings, {count(f"substances WHERE pmid = '{pmid}'")} AS n_substances, {count(f"keywords WHERE pmid = '{pmid}'")} AS n_keywords,
+        "article_record": q(f"""SELECT a.pmid, a.title, j.medline_ta,
+            (SELECT coalesce(string_agg(concat_ws('|', s.position, s.author_key, p.display_name, p.orcid, s.affiliation), '; ' ORDER BY s.position), '') FROM authorships s LEFT JOIN authors p ON s.author_key = p.author_key WHERE s.pmid = '{pmid}') AS authors,
+            (SELECT coalesce(string_agg(descriptor_name, '; ' ORDER BY descriptor_ui), '') FROM mesh_headings WHERE pmid = '{pmid}') AS headings,
+            (SELECT coalesce(string_agg(concat_ws('|', substance_ui, substance_name, registry_number), '; ' ORDER BY substance_ui), '') FROM substances WHERE pmid = '{pmid}') AS substances,
+            (SELECT coalesce(string_agg(term, '; ' ORDER BY term), '') FROM keywords WHERE pmid = '{pmid}') AS keywords, (SELECT coalesce(string_agg(type_name, '; ' ORDER BY type_ui), '') FROM publication_types WHERE pmid = '{pmid}') AS types,
             {count(f"citations WHERE citing_pmid = '{pmid}'")} AS references_total, {count(f"citations WHERE citing_pmid = '{pmid}' AND cited_pmid IN (SELECT pmid FROM articles)")} AS references_in_corpus, {count(f"citations WHERE cited_pmid = '{pmid}'")} AS cited_by_in_corpus
             FROM articles a LEFT JOIN {jr} j ON a.nlm_id = j.nlm_id WHERE a.pmid = '{pmid}'"""),
         "taxonomy_descendants": q("SELECT concept_id FROM below"),
@@ -134,22 +155,42 @@ def all_of(topic, other, author, journal, pmid, ids, text, sentence, search) ->
         "apply_deletes": q("SELECT pmid, pub_year FROM articles WHERE pmid NOT IN (SELECT pmid FROM deleted_pmids)"),
         "country_parse": q("SELECT pmid, position, country AS parsed FROM authorships"),
         "sql_journals": q(SQL["journals_of_substance"].format(name="new widget")),
-        "sql_drugs": _nested(SQL["drugs_of_heading"].format(name="NATION_9"), q),
-        "sql_kol": _nested(SQL["leading_authors"].format(name="NATION_9", recent=2000), q),
-        "sql_ambiguity": q(SQL["ambiguous_authors"].format(more=1)),
-        "sql_topic": q(SQL["topic_papers"].format(name="AMERICA")),
-        "doc_text": q("""SELECT a.pmid, substring(concat(coalesce(j.medline_ta, ''), ' (', coalesce(CAST(a.pub_year AS VARCHAR), 'n.d.'), '). ', coalesce(a.title, ''), chr(10), coalesce(m.names, ''), ' ', coalesce(s.names, ''), chr(10), a.abstract), 1, 2000) AS text
-            FROM articles a LEFT JOIN journals j ON a.nlm_id = j.nlm_id LEFT JOIN (SELECT pmid, string_agg(descriptor_name, '; ' ORDER BY descriptor_name) AS names FROM mesh_headings GROUP BY 1) m ON a.pmid = m.pmid
-            LEFT JOIN (SELECT pmid, string_agg(substance_name, '; ' ORDER BY substance_name) AS names FROM substances GROUP BY 1) s ON a.pmid = s.pmid WHERE a.abstract IS NOT NULL"""),
+        "sql_drugs": _nested(SQL["drugs_of_substance"].format(name="new widget"), q),
+        "sql_kol": _nested(SQL["leading_authors"].format(name="new widget", recent=2000), q),
+        "sql_ambiguity": q(SQL["ambiguous_authors"].format(more=MORE)),
+        "sql_topic": q(SQL["topic_papers"].format(concept=topic)),
+        "doc_text": q(whole),
+        "store_listing": q(listed, words=words, own_words=indexed("pmid", f"({whole})")),
+        "store_keys": q(keyed),
         "bm25_topk": _with(f"SELECT doc, round(score, 6) AS score FROM ({bm25} LIMIT 20)", words=words),
+        "literature_search": q(f"SELECT a.pmid, f.score, a.title, a.pub_year, j.medline_ta, a.doi FROM (SELECT * FROM ({fused(24)}) ORDER BY score DESC, doc LIMIT 8) f JOIN articles a ON a.pmid = f.doc LEFT JOIN {jr} j ON a.nlm_id = j.nlm_id", words=indexed("pmid", f"({whole})")),
+        "xml_articles": _xml(kept),
+        "xml_incremental": _xml(kept),
+        "xml_authorships": f"SELECT CAST(o_orderkey AS VARCHAR) AS pmid, unnest([concat('name:buyer', o_custkey, '|a'), concat('group:group ', o_custkey % 5)]) AS author_key, unnest([CAST(1 AS INT), 2]) AS position, unnest([TRUE, FALSE]) AS is_first, unnest([FALSE, TRUE]) AS is_last, CAST(2 AS INT) AS n_authors FROM ({kept})",
+        "xml_journals": "SELECT DISTINCT CAST(o_custkey % 97 AS VARCHAR) AS nlm_id, concat('J', o_custkey % 97) AS medline_ta, concat('Journal ', o_custkey % 97) AS title FROM orders",
+        "xml_profile": f"SELECT path, (SELECT count(*) FROM orders) AS records, 100e0 AS coverage, CASE WHEN most > 1 THEN 100e0 ELSE 0e0 END AS repeats, CAST(most AS BIGINT) AS most FROM (VALUES {profiled}) t(path, most)",
+        "sample_stride": "SELECT count(*) AS records FROM orders WHERE o_orderkey % 13 = 0",
+        "csv_shards": q("SELECT k.pmid, k.term, k.is_major FROM keywords k WHERE k.pmid IN (SELECT pmid FROM articles)"),
+        "route_trend": q("""SELECT name, value FROM (SELECT concat('row ', row_number() OVER (ORDER BY pub_year) - 1) AS name, concat('n_papers=', count(*), ', pub_year=', pub_year) AS value FROM scoped WHERE pub_year IS NOT NULL GROUP BY pub_year)
+            UNION ALL SELECT 'total_papers', CAST(count(*) AS VARCHAR) FROM scoped WHERE pub_year IS NOT NULL UNION ALL SELECT 'exact', 'True' UNION ALL SELECT 'expanded', CASE WHEN count(*) > 1 THEN 'True' ELSE 'False' END FROM below
+            UNION ALL SELECT 'descriptors_included', CAST(count(*) AS VARCHAR) FROM below UNION ALL SELECT 'note', concat('Scope: ', min(concept_name), ' (', min(concept_id), ').') FROM mesh_tree WHERE concept_id = '"""+topic+"""'"""),
+        "route_countries": _nested(f"""WITH c AS (SELECT country, count(DISTINCT pmid) AS n FROM authorships WHERE country <> '' AND pmid IN (SELECT pmid FROM articles) GROUP BY 1)
+            SELECT name, value FROM (SELECT concat('row ', row_number() OVER (ORDER BY n DESC, country) - 1) AS name, concat('country=', country, ', n_papers=', n) AS value FROM (SELECT * FROM c ORDER BY n DESC, country LIMIT 5))
+            UNION ALL SELECT 'total', CAST(count(*) AS VARCHAR) FROM c UNION ALL SELECT 'exact', 'True' UNION ALL SELECT 'caveat', '{CAVEATS["countries"]}'""", q),
+        "route_unknown": f"SELECT * FROM (VALUES ('error', 'There is no path /api/nothing.'), ('available', '{str(sorted(routes())).replace(chr(39), chr(39) * 2)}')) t(name, value)",
         "vector_topk": f"SELECT doc, round(score, 6) AS score FROM ({near} LIMIT 20)",
-        "hybrid_rrf": _with(fused, words=words),
+        "hybrid_rrf": _with(fused(20), words=words),
         "event_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n_events, round(sum(value), 2) AS total_value FROM events GROUP BY 1, 2",
         "event_sessions": """SELECT user_id, session, count(*) AS n_events FROM (SELECT user_id, CAST(sum("new") OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (
             SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000 THEN 1 ELSE 0 END AS "new" FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY 1, 2""",
     }
 
 
+def _xml(kept: str) -> str:
+    return f"""SELECT CAST(o_orderkey AS VARCHAR) AS pmid, CAST(o_custkey % 97 AS VARCHAR) AS nlm_id, concat(CASE WHEN newer THEN 'Newer' ELSE 'First' END, ' of ', o_orderpriority) AS title, 'AIM: to sell' AS abstract,
+        CAST(year(o_orderdate) AS INT) AS pub_year, CAST(month(o_orderdate) AS INT) AS pub_month, 'eng' AS language, o_orderstatus AS status, CAST(CASE WHEN newer THEN 2001 ELSE 2000 END AS INT) AS date_revised FROM ({kept})"""
+
+
 def _nested(sql: str, q) -> str:
     """A form that has common table expressions of its own, as a subquery."""
     return q(f"SELECT * FROM ({sql})")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .schema import SCHEMAS
 
 
+_SET = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one is set only where a local session names none."""
+    found = spark.conf.get(_SET, None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError(f"{_SET} names no folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+#: Schemas of the tables that this process has built, by path.
+_BUILT: dict = {}
+
+
 class Store:
     """Tables by name. A table is made when it is first asked for, so that a plan reads only what it uses."""
 
@@ -35,6 +55,26 @@ class Store:
     def names(self) -> list[str]:
         return sorted(self._makers)
 
+    def kept(self, source: str, sorted_by: Mapping[str, str] | None = None) -> Store:
+        """The same store, built once: a table is written to the shared folder when it is first asked for, in order of a
+        column if one is named for it, and read from there by every later query of the application on this source."""
+        root = f"{shared_dir(self.spark).rstrip('/')}/store-{self.spark.sparkContext.applicationId}-{hashlib.md5(source.encode()).hexdigest()[:12]}"
+
+        def of(name: str) -> Callable[[], DataFrame]:
+            def make() -> DataFrame:
+                path = f"{root}/{name}.parquet"
+                if path not in _BUILT:
+                    df = self[name]
+                    by = (sorted_by or {}).get(name)
+                    df = df.repartition(by).sortWithinPartitions(by) if by else df
+                    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+                    _BUILT[path] = df.schema
+                return self.spark.read.schema(_BUILT[path]).parquet(path)
+
+            return make
+
+        return Store(self.spark, {name: of(name) for name in self._makers})
+
     def with_tables(self, **tables: DataFrame) -> Store:
         return Store(self.spark, self._makers | {name: (lambda df=df: df) for name, df in tables.items()})
 
@@ -51,6 +91,18 @@ class Store:
         counts = [self[n].agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table"), "n_rows") for n in self.names()]
         return reduce(DataFrame.unionAll, counts)
 
+    def sizes(self, path: str) -> DataFrame:
+        """table, n_files, mb of the Parquet files of a store that is written under a path."""
+        from pyspark.sql import functions as F
+
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+        table = F.regexp_extract("path", r"/(\w+)\.parquet(?:/|\z)", 1)
+        return files.groupBy(table.alias("table")).agg(F.count("*").alias("n_files"), F.round(F.sum("length") / 1e6, 1).alias("mb"))
+
+    def show(self, name: str, rows: int = 20, wide: bool = False) -> str:
+        """The first rows of a table as text: a grid, or with ``wide`` a line for each column."""
+        return self[name]._jdf.showString(rows, 0 if wide else 40, wide)
+
     def export_csv(self, name: str, path: str) -> None:
         """One table as CSV with a header, for spreadsheets; arrays are joined by commas."""
         from pyspark.sql import functions as F

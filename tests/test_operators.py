@@ -153,13 +153,13 @@ def test_stems(word, root):
 
 
 def test_profiles(spark):
-    xml = '<a xmlns:x="u"><Title>T{0}</Title><Author><LastName>L</LastName></Author><Author><LastName>M</LastName></Author><e k="v" id="1"/></a>'
+    xml = '<a xmlns:x="u"><Title>T{0}</Title><Author><LastName>L</LastName></Author><Author><LastName>M</LastName></Author><e k="v" id="1" UI="2"/></a>'
     rows = spark.createDataFrame([(i, xml.format(i)) for i in range(26)], "id int, text string")
     paths = [r.asDict() for r in profiler.profile(rows, "id", "text", stride=13).collect()]
     by = {p["path"]: p for p in paths}
-    assert by["Title"]["records"] == 2 and by["Title"]["coverage"] == 100.0 and by["Author"]["repeats"] == 100.0 and "e@k" in by and "e@id" not in by
+    assert by["Title"]["records"] == 2 and by["Title"]["coverage"] == 100.0 and by["Author"]["repeats"] == 100.0 and {"e@k", "e@id"} <= set(by) and "e@UI" not in by and by["Author"]["most"] == 2 and by["Author/LastName"]["samples"] == ["L"] and by["Title"]["samples"] == ["T0", "T13"]
     mapping = profiler.propose(paths)
-    assert mapping["title"]["path"] == "Title" and mapping["author_last"]["repeating"]
+    assert mapping["document.title"]["path"] == "Title" and mapping["person.name"]["repeating"] and mapping["document.id"]["path"] == "e@id"
     assert profiler.fingerprint(paths) == profiler.fingerprint(paths[::-1]) and len(profiler.fingerprint(paths)) == 16
     about = profiler.detect('<?xml version="1.0"?><!DOCTYPE set PUBLIC "-//X" "y"><set xmlns="http://n"><r/></set>')
     assert about == {"doctype": "set", "public_id": "-//X", "root": "set", "namespace": "http://n"}
@@ -198,3 +198,46 @@ def test_plans(store):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan(A.list_countries(store, "P").rows)
     assert "TakeOrderedAndProject" in A.list_countries(store).rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_store_is_built_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([("2", "b"), ("1", "a")], "pmid string, term string")
+
+    for _ in range(2):
+        store = Store(spark, {"keywords": make}).kept(str(tmp_path), {"keywords": "term"})
+        assert sorted(map(tuple, store["keywords"].collect())) == [("1", "a"), ("2", "b")]
+    assert made == [1]
+    assert Store(spark, {"keywords": make}).kept("elsewhere")["keywords"].count() == 2 and made == [1, 1]
+    store.write(str(tmp_path / "s"))
+    assert [(r.table, r.n_files > 0, r.mb >= 0) for r in store.sizes(str(tmp_path / "s")).collect()] == [("keywords", True, True)]
+    assert "term" in store.show("keywords") and "-RECORD 0" in store.show("keywords", wide=True)
+
+
+def test_recent_since_zero_and_affiliations(spark):
+    tables = {
+        "articles": spark.createDataFrame([("1", 2001), ("2", 2003)], "pmid string, pub_year int"),
+        "authors": spark.createDataFrame([("a", "A", None, False)], "author_key string, display_name string, orcid string, is_group boolean"),
+        "authorships": spark.createDataFrame([("1", "a", True, False, "Lab", "X"), ("2", "a", False, True, None, "X")], "pmid string, author_key string, is_first boolean, is_last boolean, affiliation string, country string"),
+    }
+    row = A.rank_authors(Store.of(spark, tables), recent_since=0).rows.first()
+    assert (row.n_recent, row.affiliation, row.score) == (2, "Lab", 2 + 1.5 + 2 + 2)
+
+
+def test_search_is_a_tool(spark):
+    store = Store.of(spark, {
+        "articles": spark.createDataFrame([(str(i), f"T{i}", 2000 + i, "J", None, t) for i, t in enumerate(["heart attack", "heart", "lung"])], "pmid string, title string, pub_year int, nlm_id string, doi string, abstract string"),
+        "journals": spark.createDataFrame([("J", "J One")], "nlm_id string, medline_ta string"),
+    })
+    index = retrieval.postings(store["articles"].withColumnRenamed("abstract", "text"), stemmed=True)
+    assistant.register_search(index, stemmed=True)
+    try:
+        out = assistant.call(store, "search_literature", {"query": "hearts", "k": 5})
+        assert {r["pmid"] for r in out["results"]} == {"0", "1"} and out["retrievers"] == ["bm25"] and not out["exact"]
+        assert [r["pmid"] for r in assistant.call(store, "search_literature", {"query": "heart", "since_year": 2001})["results"]] == ["1"]
+        assert "search_literature" in {t["name"] for t in assistant.tool_schemas()}
+    finally:
+        del assistant.REGISTRY["search_literature"]

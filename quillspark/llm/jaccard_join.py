@@ -41,10 +41,10 @@ WIDTH, PERCENT = 3, 90
 #: Sets, and elements, in a block of a group that is compared by pairs of blocks; text bytes hashed at once by a task;
 #: signatures that a task combines before it sends them, and a signature's sets from which on it does; sets, or buckets,
 #: that it remembers having met; rows of a bucket from which on all its sets are candidates, whatever their counts.
-BLOCK, ELEMENTS = 2048, 1 << 21
-_SLICE, _COMBINED, _OFTEN, _SEEN, _WHOLE = 4 << 20, 2_000_000, 64, 200_000, 1 << 15
-#: Counts of a set's elements by hash, of one byte each.
-_COUNTS = 64
+BLOCK, ELEMENTS = 2048, 1 << 19
+_SLICE, _COMBINED, _OFTEN, _SEEN, _WHOLE = 2 << 20, 1_000_000, 4096, 200_000, 1 << 16
+#: Counts of a set's elements by hash, of one byte each, up to sets of so many elements.
+_COUNTS = ((64, 300), (256, 4000), (1024, 1 << 62))
 #: What an expected partner by chance costs, in signatures: partners join whole groups, so that there should be far fewer
 #: than one a set.
 _PARTNER = 1000
@@ -199,8 +199,9 @@ def _alike(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
         front = np.array([seed])
         while len(front) and len(left):
             hit = np.zeros(len(left), bool)
-            for at in range(0, len(front), max(1, (1 << 22) // (_COUNTS * len(left)))):
-                some = front[at : at + max(1, (1 << 22) // (_COUNTS * len(left)))]
+            step = max(1, (1 << 22) // (counts.shape[1] * len(left)))
+            for at in range(0, len(front), step):
+                some = front[at : at + step]
                 apart = np.abs(counts[some][:, None] - counts[left][None]).sum(2, dtype=np.int64)
                 hit |= (apart * (100 + percent) <= (sizes[some][:, None] + sizes[left][None]) * (100 - percent)).any(0)
             front, left = left[hit], left[~hit]
@@ -208,6 +209,27 @@ def _alike(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return root
 
 
+class _Counts:
+    """Counts of the rows of a table at a width: those with more are folded."""
+
+    def __init__(self, column):
+        self.rows = column.to_pylist()
+        self.widths = np.fromiter(map(len, self.rows), np.int64, len(self.rows))
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        if width not in self.made:
+            place, parts = np.full(len(self.rows), -1), []
+            for own in np.unique(self.widths[self.widths >= width]):
+                chosen = np.flatnonzero(self.widths == own)
+                place[chosen] = np.arange(len(chosen)) + sum(map(len, parts))
+                counts = np.frombuffer(b"".join(self.rows[k] for k in chosen.tolist()), np.uint8)
+                parts.append(counts.reshape(len(chosen), -1, width).sum(1, dtype=np.int32))
+            self.made[width] = place, np.concatenate(parts)
+        place, counts = self.made[width]
+        return counts[place[rows]]
+
+
 def _candidates(percent: int):
     """Over rows (sig, cls, whole, n, counts) in order of (sig, cls): edges that join each bucket's candidates."""
 
@@ -215,25 +237,30 @@ def _candidates(percent: int):
         seen: set[int] = set()
         for table, starts in _buckets(batches, ("sig", "cls", "whole", "n", "counts")):
             cls, whole, sizes = (table.column(c).to_numpy() for c in ("cls", "whole", "n"))
-            counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, _COUNTS).astype(np.int16)
+            counts = _Counts(table.column("counts"))
             ends = np.append(starts[1:], len(cls))
             pair = ends - starts == 2
-            a = starts[pair]
-            near = whole[a] | whole[a + 1] | (np.abs(counts[a] - counts[a + 1]).sum(1, dtype=np.int64) * (100 + percent) <= (sizes[a] + sizes[a + 1]) * (100 - percent))
-            u, v = [cls[a[near]]], [cls[a[near] + 1]]
+            width = np.minimum.reduceat(counts.widths, starts)
+            u, v = [], []
+            for w in np.unique(width[pair]).tolist():
+                a = starts[pair & (width == w)]
+                apart = np.abs(counts.at(a, w) - counts.at(a + 1, w)).sum(1, dtype=np.int64)
+                near = whole[a] | whole[a + 1] | (apart * (100 + percent) <= (sizes[a] + sizes[a + 1]) * (100 - percent))
+                u.append(cls[a[near]]), v.append(cls[a[near] + 1])
             if len(seen) > _SEEN:
                 seen = set()
-            for a, b in zip(starts[~pair].tolist(), ends[~pair].tolist()):
+            for a, b, w in zip(starts[~pair].tolist(), ends[~pair].tolist(), width[~pair].tolist()):
                 # partners share many buckets, which often hold the same sets
                 key = xxhash.xxh3_64_intdigest(cls[a:b].tobytes(), seed=int(whole[a:b].any()))
                 if b - a == 1 or key in seen:
                     continue
                 seen.add(key)
-                root = np.zeros(b - a, np.int64) if whole[a:b].any() else _alike(counts[a:b], sizes[a:b], percent)
+                root = np.zeros(b - a, np.int64) if whole[a:b].any() else _alike(counts.at(np.arange(a, b), w), sizes[a:b], percent)
                 own = root != np.arange(b - a)
                 u.append(cls[a + root[own]]), v.append(cls[a:b][own])
-            found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+            if u:
+                found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
 
     return run
 
@@ -348,6 +375,12 @@ def _digests(elements: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(elements[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _counts(elements: np.ndarray) -> bytes:
+    width = next(w for w, most in _COUNTS if len(elements) <= most)
+    found = np.bincount((elements >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width)
+    return np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
 def _base(width: int):
     """Of each text its set's size, hash, the first half of the hash, and counts of elements by hash (255 at most)."""
 
@@ -358,10 +391,8 @@ def _base(width: int):
                 digests = _digests(elements, bounds)
                 halves = pa.array([None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())
                 sizes = np.diff(bounds)
-                place = np.repeat(np.arange(len(sizes)) * _COUNTS, sizes) + (elements >> np.uint64(40)).astype(np.int64) % _COUNTS
-                counts = np.minimum(np.bincount(place, minlength=_COUNTS * len(sizes)), 255).astype(np.uint8).tobytes()
-                counts = pa.array([counts[k : k + _COUNTS] for k in range(0, len(counts), _COUNTS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(digests, pa.binary()), halves, counts], names=["id", "n_shingles", "set_hash", "cls", "counts"])
+                counts = [_counts(elements[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(digests, pa.binary()), halves, pa.array(counts, pa.binary())], names=["id", "n_shingles", "set_hash", "cls", "counts"])
 
     return run
 

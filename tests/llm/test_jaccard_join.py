@@ -123,6 +123,7 @@ def test_other_widths_thresholds_and_orders(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard_join, "_SEEN", 20)
     monkeypatch.setattr(jaccard_join, "_OFTEN", 2 * seed)
     monkeypatch.setattr(jaccard_join, "_WHOLE", 4 * seed)
+    monkeypatch.setattr(jaccard_join, "_COUNTS", ((16, 30 * seed), (64, 100), (256, 1 << 62)))
     rng = random.Random(seed)
     rows = corpus(rng, 250)
     rows.append((2000, " ".join(f"long{k}" for k in range(30_000))))

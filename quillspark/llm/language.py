@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-Each language's characteristic n-grams are put into a Bloom filter; the filters share their hash functions and are
+Each language's n-grams are put into a Bloom filter; the filters share their hash functions and are
 stored slice by slice, so that a position of the table holds one bit per language, and the conjunction of an n-gram's
 positions is the set of all languages that may contain it. A text's popcounts per language, less the false positives
 that each filter's fill predicts, decide.
@@ -17,9 +17,9 @@ from .arrow import only, slices, texts_of, trimmed
 from .shingles import mix
 from .tables import Staged, documents
 
-#: n-gram lengths; the least share of a language's n-grams that one needs, so that at most 1 / SHARE stay for each
-#: language; and the least rate as a part of the largest that the n-gram has in any language.
-ORDERS, SHARE, RATE = (3, 4), 1e-5, 0.2
+#: n-gram lengths, and the least share of a language's n-grams that one needs to be in its filter: rarer ones are noise
+#: (names, slips, words of other languages), and at most 1 / SHARE stay for each language.
+ORDERS, SHARE = (3, 4), 1e-5
 #: Hash functions, and bits of a filter for each n-gram of the language with the most.
 HASHES, BITS = 3, 12
 UNKNOWN = "und"
@@ -190,9 +190,10 @@ class Filters:
         return names, scores, shares
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = SHARE, rate: float = RATE) -> Filters:
-    """Filters of all rows with a language: an n-gram's counts are summed over the cluster; only the n-grams of a
-    language with at least ``share`` of its occurrences (so at most 1 / share for each language) reach the driver."""
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = SHARE) -> Filters:
+    """Filters of all rows with a language: an n-gram's counts are summed over the cluster; those with at least ``share``
+    of a language's n-grams (so at most 1 / share for each language) reach the driver and go into its filter, whatever
+    other languages have them too."""
     read = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[text_col].alias("text"), df[lang_col].cast("string").alias("lang"))
     stage = Staged(df.sparkSession, "language")
     counts = read.mapInArrow(trimmed(_counted), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
@@ -202,11 +203,9 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share:
     if not languages:
         stage.drop()
         return Filters([], [], [])
-    rates = counts.join(F.broadcast(df.sparkSession.createDataFrame(list(totals.items()), "lang string, total long")), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= share)
-    top = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("all"))
-    kept = top.select("gram", "top", F.explode("all").alias("x")).where(F.col("x.rate") >= rate * F.col("top")).select("gram", F.col("x.lang").alias("lang"))
+    kept = counts.join(F.broadcast(df.sparkSession.createDataFrame(list(totals.items()), "lang string, total long")), "lang").where(F.col("n") >= share * F.col("total"))
     number = {lang: k for k, lang in enumerate(languages)}
-    grams = [(number[r["lang"]], r["gram"]) for r in kept.toLocalIterator()]
+    grams = [(number[r["lang"]], r["gram"]) for r in kept.select("lang", "gram").toLocalIterator()]
     stage.drop()
     return Filters(languages, grams, [totals[lang] for lang in languages])
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -27,6 +28,42 @@ def test_accuracy_and_odd_rows(spark):
     assert {r.lang_pred for r in predict(df.limit(3), empty).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """3- and 4-grams of words with their edges, by hand."""
+    out, words = [], "".join(c.lower() if c.isalpha() else " " for c in text).split()
+    for word in words:
+        edged = f" {word} "
+        out += [edged[i : i + n] for n in (3, 4) for i in range(len(edged) - n + 1)]
+    return out
+
+
+def test_predictions_against_plain_sets(spark):
+    """Languages that share words, and texts of two languages: the largest number of n-grams that a language's set holds."""
+    rng = random.Random(7)
+    SYLLABLES["dd"] = [*SYLLABLES["aa"][:3], "lha", "ung"]
+    try:
+        rows = [(i, text_of(rng, lang), lang) for i in range(400) for lang in [rng.choice(list(SYLLABLES))]]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        share = 0.002
+        held = {}
+        for lang in SYLLABLES:
+            counts = Counter(g for _, t, own in rows[:300] if own == lang for g in plain_grams(t))
+            held[lang] = {g for g, n in counts.items() if n >= share * sum(counts.values())}
+        assert held["aa"] & held["dd"]
+        texts = [t for _, t, _ in rows[300:]] + [text_of(rng, a, k) + " " + text_of(rng, b, 60 - k) for a, b, k in [("aa", "dd", 20), ("bb", "cc", 25), ("dd", "bb", 40)] * 10]
+        made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r for r in predict(made, train(df.where("doc_id < 300"), share=share)).collect()}
+        for i, text in enumerate(texts):
+            grams = plain_grams(text)
+            found = sorted(((sum(g in held[lang] for g in grams), lang) for lang in held), reverse=True)
+            if found[0][0] > found[1][0] + 0.02 * len(grams):  # beyond what false positives may change
+                assert got[i].lang_pred == found[0][1]
+                assert abs(got[i].score - found[0][0] / (found[0][0] + found[1][0])) < 0.03
+                assert abs(got[i].known_share - found[0][0] / len(grams)) < 0.03
+    finally:
+        del SYLLABLES["dd"]
+
+
 def test_ngrams_are_those_of_words(monkeypatch):
     text = "Ab cde, f!"
     want = {3: {" ab", "ab ", " cd", "cde", "de ", " f "}, 4: {" ab ", " cde", "cde "}}

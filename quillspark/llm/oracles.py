@@ -61,3 +61,18 @@ def nearest_vectors() -> str:
       s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.x, c.x) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
       r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
     SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
+
+
+def jaccard_join() -> str:
+    """Sets by text, intersections counted over shared shingles, and the smallest id reachable by a recursive query."""
+    low = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+      s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(range(1, greatest(len(words) - 1, 2)), lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles FROM w),
+      k AS MATERIALIZED (SELECT min(doc_id) AS rep, len(any_value(shingles)) AS size, list_sort(shingles) AS shingles FROM s WHERE len(shingles) > 0 GROUP BY list_sort(shingles)),
+      e AS MATERIALIZED (SELECT rep, size, unnest(shingles) AS shingle FROM k),
+      l AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.rep <> b.rep AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size)
+        GROUP BY a.rep, b.rep, a.size, b.size HAVING 100 * count(*) >= 90 * (a.size + b.size - count(*))),
+      r(a, b) AS (SELECT rep, rep FROM k UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+      c AS (SELECT a, min(b) AS component FROM r GROUP BY a)
+    SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id
+    FROM s LEFT JOIN k ON list_sort(s.shingles) = k.shingles LEFT JOIN c ON c.a = k.rep"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": oracles.license_scan(), "op9_near_vectors": oracles.near_vectors(), "op10_quantised_search": oracles.nearest_vectors()}
+    return {"op5_license_scan": oracles.license_scan(), "op6_jaccard_join": oracles.jaccard_join(), "op9_near_vectors": oracles.near_vectors(), "op10_quantised_search": oracles.nearest_vectors()}

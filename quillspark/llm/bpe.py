@@ -29,7 +29,7 @@ from .arrow import coded, only
 #: In a unit, what stands before it: nothing at the start of a text, a newline; else it was a space.
 START, NEWLINE = "\x01", "\x00"
 #: Entries of each of a cache's two generations, a bound on a worker's memory.
-CACHE_LIMIT = 100_000
+CACHE_LIMIT = 200_000
 #: Longer keys are not kept.
 KEY_LIMIT = 64
 _WIDE = re.compile(r"[^\x00-\xff]")
@@ -149,7 +149,7 @@ class PrefixCounter:
         self.rank = {(raw[a], raw[b]): i for i, (a, b) in enumerate(pairs)}
         self.last: dict[bytes, tuple[int, bytes]] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.known = Cache(self._chunk_count)
+        self.known = Cache(self._chunk_count, 300_000)
 
     def _merged(self, data: bytes) -> list[bytes]:
         parts, get = [data[i : i + 1] for i in range(len(data))], self.rank.get
@@ -175,7 +175,7 @@ class PrefixCounter:
         """Whether the two encode as themselves; before may be empty."""
         found = self.fits.get((before, token))
         if found is None:
-            if len(self.fits) > 9 * CACHE_LIMIT:
+            if len(self.fits) > 900_000:
                 self.fits.clear()
             found = self.fits[before, token] = self._merged(before + token) == ([before, token] if before else [token])
         return found
@@ -189,7 +189,7 @@ class PrefixCounter:
         n = len(word)
         if n > KEY_LIMIT:
             return self.states(word)[-1]
-        if len(last) > 12 * CACHE_LIMIT:
+        if len(last) > 1_200_000:
             last.clear()
         k = n - 1
         while k and word[:k] not in last:
@@ -218,7 +218,7 @@ class PrefixCounter:
                         state = out[j][0] + 1, token
                         break
                 if prefix:
-                    if len(last) > 12 * CACHE_LIMIT:
+                    if len(last) > 1_200_000:
                         last.clear()
                     last[prefix] = state
             out.append(state)

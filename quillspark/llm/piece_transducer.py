@@ -141,7 +141,7 @@ class Transducer:
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
         self.chunked = self.merging and self.cuts_marks and not self.thin and self.prefix and self.byte_ids is not None
         self.cuts_newlines = "\n" not in self.characters
-        self.known = Cache(self._unit)
+        self.known = Cache(self._unit, 300_000)
 
     def _merged(self, text: str) -> list[str]:
         """Merges alone: always the adjacent pair whose piece has the best score, the leftmost of equal ones."""

@@ -138,15 +138,17 @@ def hashed_encoder(dims: int = 64) -> Callable[[str], list[float]]:
     return encode
 
 
-def build_vectors(docs: DataFrame, done: DataFrame | None, encode: Callable[[str], list[float]], path: str) -> DataFrame:
-    """Appends vectors of the texts that have none yet or have changed: told by id and a hash of the text."""
+def build_vectors(docs: DataFrame, done: DataFrame | None, encode: Callable[[list[str]], list[list[float]]], path: str, batch: int = 64) -> DataFrame:
+    """Appends vectors of the texts that have none yet or have changed: told by id and a hash of the text. The encoder
+    gets lists of up to ``batch`` texts."""
     keyed = docs.select("pmid", "text", F.md5("text").alias("content"))
     todo = keyed if done is None else keyed.join(done.select("pmid", "content"), ["pmid", "content"], "left_anti")
 
     def run(batches):
-        for batch in batches:
-            vectors = [encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pmid"), batch.column("content"), pa.array(vectors, pa.list_(pa.float32()))], names=["pmid", "content", "vector"])
+        for rows in batches:
+            texts = rows.column("text").to_pylist()
+            vectors = [v for at in range(0, len(texts), batch) for v in encode(texts[at : at + batch])]
+            yield pa.RecordBatch.from_arrays([rows.column("pmid"), rows.column("content"), pa.array(vectors, pa.list_(pa.float32()))], names=["pmid", "content", "vector"])
 
     todo.mapInArrow(run, "pmid string, content string, vector array<float>").write.mode("append").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema("pmid string, content string, vector array<float>").parquet(path)

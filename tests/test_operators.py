@@ -140,7 +140,8 @@ def test_search(spark, store):
 
 def test_vectors_are_made_once_for_each_text(spark, tmp_path):
     docs = spark.createDataFrame([("1", "a cat"), ("2", "a dog")], "pmid string, text string")
-    encode = retrieval.hashed_encoder(4)
+    one = retrieval.hashed_encoder(4)
+    encode = lambda texts: [one(t) for t in texts]
     done = retrieval.build_vectors(docs, None, encode, str(tmp_path / "v"))
     assert done.count() == 2
     again = docs.withColumn("text", F.when(F.col("pmid") == "2", "another dog").otherwise(F.col("text")))

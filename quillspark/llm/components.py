@@ -36,8 +36,7 @@ def components(edges: DataFrame, stage: Staged, name: str = "components") -> Dat
         k += 1
         large = stage.write(_large_star(now, stage, f"{name}-{k}-a"), f"{name}-{k}-large")
         after = stage.write(_small_star(large, stage, f"{name}-{k}-b"), f"{name}-{k}")
-        for old in (f"{name}-{k - 1}", f"{name}-{k}-a", f"{name}-{k}-b", f"{name}-{k}-large"):
-            stage.drop(old)
+        stage.drop(f"{name}-{k - 1}", f"{name}-{k}-a", f"{name}-{k}-b", f"{name}-{k}-large")
         # an exact, order-free fingerprint of the edges
         found = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == seen:

@@ -39,10 +39,12 @@ from .tables import Staged, documents
 
 WIDTH, PERCENT = 3, 90
 #: Sets, and elements, in a block of a group that is compared by pairs of blocks; text bytes hashed at once by a task;
-#: signatures that a task combines before it sends them, and a signature's sets from which on it does; sets, or buckets,
-#: that it remembers having met; rows of a bucket from which on all its sets are candidates, whatever their counts.
-BLOCK, ELEMENTS = 2048, 1 << 19
+#: signatures that a task combines before it sends them, and a signature's sets from which on it does; sets that it
+#: remembers having met; rows of a bucket from which on all its sets are candidates, whatever their counts.
+BLOCK, ELEMENTS = 1024, 1 << 19
 _SLICE, _COMBINED, _OFTEN, _SEEN, _WHOLE = 2 << 20, 1_000_000, 4096, 200_000, 1 << 16
+#: Stands among a bucket's sets for the word that it is whole.
+_MARK = np.int64(-(2**63))
 #: Counts of a set's elements by hash, of one byte each, up to sets of so many elements.
 _COUNTS = ((64, 300), (256, 4000), (1024, 1 << 62))
 #: What an expected partner by chance costs, in signatures: partners join whole groups, so that there should be far fewer
@@ -135,8 +137,8 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, plan: Allocation) -> tu
 
 
 def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """A task's signatures with their sets. One that many sets of the task have is sent once, marked as whole; these sets
-    follow as pairs with the first under signatures of their own. So a signature has a bounded number of rows from each
+    """A task's signatures with their sets. One that many sets of the task have is sent once, with a mark that its bucket
+    is whole; these sets follow as pairs with the first under signatures of their own, marked too. So a signature has a bounded number of rows from each
     task, however frequent it is."""
     sig, cls = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((cls, sig))
@@ -150,45 +152,55 @@ def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     pairs = np.unique(np.stack([centre[other], cls[other]]), axis=1)
     own = mix(pairs[0].view(np.uint64) * _GROUP + mix(pairs[1].view(np.uint64)))
     sent = ~often | first
-    whole = np.concatenate([often[sent], np.ones(2 * len(own), bool)])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[sent], own, own]).view(np.int64)), pa.array(np.concatenate([cls[sent], *pairs])), pa.array(whole)], names=["sig", "cls", "whole"])
+    marked = np.concatenate([sig[often & first], own])
+    sig = np.concatenate([sig[sent], own, own, marked]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.concatenate([cls[sent], *pairs, np.full(len(marked), _MARK)]))], names=["sig", "cls"])
 
 
 def _buckets(batches, columns: tuple[str, ...]):
-    """Over rows in order of (sig, cls), a table at a time: whole buckets, with the places where each starts. The last of a
-    table goes on in the next one, but a bucket of _WHOLE rows is cut: its first row, marked as whole, starts the next."""
-    held = None
+    """Over rows in order of (sig, cls), a table at a time: whole buckets, the places where each starts, and whether they
+    are parts of one. The last of a table goes on in the next one, but a bucket of _WHOLE rows is cut, and each part but
+    the first starts with the first rows of all."""
+    held, carried = None, False
+
+    def found(table):
+        sig = table.column("sig").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        part = np.zeros(len(starts), bool)
+        part[0] = carried
+        return starts, part
+
     for batch in batches:
         table = pa.Table.from_batches([batch]).select(list(columns))
         held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
         if not held.num_rows:
             continue
-        sig = held.column("sig").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        last = int(starts[-1])
+        starts, part = found(held)
         if len(starts) > 1:
-            yield held.slice(0, last), starts[:-1]
-            held = held.slice(last)
+            yield held.slice(0, int(starts[-1])), starts[:-1], part[:-1]
+            held, carried = held.slice(int(starts[-1])), False
         if held.num_rows > _WHOLE:
-            at = held.schema.get_field_index("whole")
-            held = held.set_column(at, "whole", pa.array(np.ones(held.num_rows, bool)))
-            yield held, np.array([0])
-            held = held.slice(0, 1)
+            yield held, np.array([0]), np.array([True])
+            held, carried = held.slice(0, 2), True
     if held is not None and held.num_rows:
-        sig = held.column("sig").to_numpy()
-        yield held, np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        yield held, *found(held)
 
 
 def _shared(batches):
-    """The rows of signatures that several sets have."""
-    for table, starts in _buckets(batches, ("sig", "cls", "whole")):
+    """The buckets of several sets, by what they hold rather than by signature: partners share many buckets, which often
+    hold the same sets. Of a bucket that is cut, each part is one of its own."""
+    for table, starts, cut in _buckets(batches, ("sig", "cls")):
         cls = table.column("cls").to_numpy()
+        # rows are in order of cls, so that repeats of a set stand together, and a mark comes first
         new = np.concatenate([[True], cls[1:] != cls[:-1]])
-        new[starts] = True  # rows are in order of cls, so that repeats of a set stand together
-        distinct = np.add.reduceat(new.astype(np.int64), starts)
+        new[starts] = True
+        whole = (cls[starts] == _MARK) | cut
+        new &= cls != _MARK
         sizes = np.diff(np.append(starts, len(cls)))
-        keep = np.repeat(distinct > 1, sizes) & (new | table.column("whole").to_numpy())
-        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+        held = np.add.reduceat(np.where(new, mix(cls.view(np.uint64) + _SEGMENT), np.uint64(0)), starts)
+        held = mix(held + np.where(whole, _GROUP, np.uint64(0))).view(np.int64)
+        keep = np.repeat(np.add.reduceat(new.astype(np.int64), starts) > 1, sizes) & new
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(held, sizes)[keep]), pa.array(cls[keep]), pa.array(np.repeat(whole, sizes)[keep])], names=["sig", "cls", "whole"])
 
 
 def _alike(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -234,11 +246,11 @@ def _candidates(percent: int):
     """Over rows (sig, cls, whole, n, counts) in order of (sig, cls): edges that join each bucket's candidates."""
 
     def run(batches):
-        seen: set[int] = set()
-        for table, starts in _buckets(batches, ("sig", "cls", "whole", "n", "counts")):
+        for table, starts, cut in _buckets(batches, ("sig", "cls", "whole", "n", "counts")):
             cls, whole, sizes = (table.column(c).to_numpy() for c in ("cls", "whole", "n"))
             counts = _Counts(table.column("counts"))
             ends = np.append(starts[1:], len(cls))
+            whole = whole | np.repeat(cut, ends - starts)
             pair = ends - starts == 2
             width = np.minimum.reduceat(counts.widths, starts)
             u, v = [], []
@@ -247,14 +259,7 @@ def _candidates(percent: int):
                 apart = np.abs(counts.at(a, w) - counts.at(a + 1, w)).sum(1, dtype=np.int64)
                 near = whole[a] | whole[a + 1] | (apart * (100 + percent) <= (sizes[a] + sizes[a + 1]) * (100 - percent))
                 u.append(cls[a[near]]), v.append(cls[a[near] + 1])
-            if len(seen) > _SEEN:
-                seen = set()
             for a, b, w in zip(starts[~pair].tolist(), ends[~pair].tolist(), width[~pair].tolist()):
-                # partners share many buckets, which often hold the same sets
-                key = xxhash.xxh3_64_intdigest(cls[a:b].tobytes(), seed=int(whole[a:b].any()))
-                if b - a == 1 or key in seen:
-                    continue
-                seen.add(key)
                 root = np.zeros(b - a, np.int64) if whole[a:b].any() else _alike(counts.at(np.arange(a, b), w), sizes[a:b], percent)
                 own = root != np.arange(b - a)
                 u.append(cls[a + root[own]]), v.append(cls[a:b][own])
@@ -276,13 +281,16 @@ def _links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percen
     owner = owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        lo, hi = np.searchsorted(column, [start, start + 2048])
-        part = np.zeros((len(sets), min(2048, int(column[-1]) + 1 - start)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        lo, hi = np.searchsorted(column, [start, start + 1024])
+        part = np.zeros((len(sets), min(1024, int(column[-1]) + 1 - start)), np.float32)
         part[owner[lo:hi], column[lo:hi] - start] = 1
         both += part[first] @ part[second].T
-    union = sizes[first][:, None] + sizes[second][None, :] - both
-    return 100 * both.astype(np.float64) >= percent * union.astype(np.float64)
+    linked = np.zeros(both.shape, bool)
+    for at in range(0, len(first), 128):  # whole numbers, a few rows at a time
+        rows = slice(at, at + 128)
+        linked[rows] = (100 + percent) * both[rows].astype(np.int64) >= percent * (sizes[first[rows]][:, None] + sizes[second][None, :])
+    return linked
 
 
 def _forest(links: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -503,17 +511,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bands = classes.select((F.array_size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("n"))) - 1).alias("band"))
     counts = {r["band"]: r["sets"] for r in bands.groupBy("band").agg(F.count("*").alias("sets")).collect()}  # one row a band
     plan = Allocation(percent, largest, counts)
-    dealt = read.where("id is not null").mapInArrow(trimmed(_signed(plan, width)), "sig long, cls long, whole boolean").repartition("sig").sortWithinPartitions("sig", "cls")
-    shared = stage.write(dealt.mapInArrow(_shared, "sig long, cls long, whole boolean"), "shared")
+    dealt = read.where("id is not null").mapInArrow(trimmed(_signed(plan, width)), "sig long, cls long").repartition("sig").sortWithinPartitions("sig", "cls")
+    shared = stage.write(dealt.mapInArrow(_shared, "sig long, cls long, whole boolean").distinct(), "shared")
     counted = shared.join(classes.select("cls", "n", "counts"), "cls").select("sig", "cls", "whole", "n", "counts")
     near = counted.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(trimmed(_candidates(percent)), "u long, v long")
     stars = stage.write(near, "stars")
+    stage.drop("shared")
     found = components(stars, stage, "groups").toDF("cls", "grp")
     groups = stage.write(classes.join(found, "cls").select(F.col("rep").alias("id"), "set_hash", "grp", "n"), "groups")
     wanted = spark.sparkContext.broadcast(id_filter(groups.select("id")))  # of fixed size
     sets = read.where("id is not null").mapInArrow(trimmed(_in_groups(width, wanted)), "id long, set_hash binary, elements binary")
     edges = stage.write(_linked(groups, sets, percent), "edges")
+    stage.drop("stars", "groups")
     labels = components(edges, stage, "components")
+    stage.drop("edges")
     out = base.join(classes.select("set_hash", "rep"), "set_hash", "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 

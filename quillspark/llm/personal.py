@@ -204,10 +204,9 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, stage: Staged, confidence: flo
         known = after
 
 
-def discovered(found: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+def discovered(found: DataFrame, stage: Staged, confidence: float = CONFIDENCE) -> DataFrame:
     """instance, kind of all that the pattern-instance graph is sure of, seeds included: a secret that its name tells in
     one place is one in others too."""
-    stage = Staged(found.sparkSession, "patterns")
     link = stage.write(found.select(F.explode("links").alias("l")).select("l.instance", "l.kind", "l.patterns").distinct(), "links")
     edges = stage.write(link.select("instance", F.explode("patterns").alias("pattern")).distinct(), "edges")
     seeds = link.where("kind is not null").select("instance", "kind")
@@ -228,11 +227,13 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     those of the result.
     """
     stage = Staged(df.sparkSession, "personal")
+    graph = Staged(df.sparkSession, "patterns")
     carried = {f"keep_{k}": c for k, c in enumerate(keep)}
     read = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *(df[c].alias(k) for k, c in carried.items()))
     types = "".join(f", {k} {read.schema[k].dataType.simpleString()}" for k in ["id", *carried])
     found = stage.write(read.mapInArrow(trimmed(_scan), _FOUND + types), "found")
-    new = stage.write(discovered(found, confidence), "discovered")
+    new = stage.write(discovered(found, graph, confidence), "discovered")
+    graph.drop()
     place = lambda kind: F.array_position(F.array(*map(F.lit, ALL)), kind).cast("int")
     cand = found.select("row", F.explode("links").alias("l")).where("l.kind is null").select("row", "l.start", "l.end", "l.instance")
     added = cand.join(new, "instance").groupBy("row").agg(F.collect_list(F.struct(place(F.col("new_kind")).alias("k"), F.col("start").alias("a"), F.col("end").alias("b"))).alias("added"))
@@ -274,7 +275,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     A null text stays null. Rows, null ids and repeats are kept."""
     columns = df.columns
-    marked = find_personal(df.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(columns)}), f"in_{columns.index(id_col)}", f"in_{columns.index(text_col)}", tuple(f"in_{k}" for k in range(len(columns)) if columns[k] != id_col))
+    marked = find_personal(df.toDF(*(f"in_{k}" for k in range(len(columns)))), f"in_{columns.index(id_col)}", f"in_{columns.index(text_col)}", tuple(f"in_{k}" for k in range(len(columns)) if columns[k] != id_col))
     at = f"in_{columns.index(text_col)}"
 
     def mask(batches):

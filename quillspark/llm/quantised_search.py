@@ -243,6 +243,7 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_co
     each = top.join(members.select("rep", "ids"), "rep").select("asked", F.explode("ids").alias("vec_id"), "score")
     lists = each.groupBy("asked").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("all"))
     lists = stage.write(lists, "lists")  # at most (k + 1) ** 2 entries before they are cut
+    stage.drop("rows", "keyed", "classes", "queries", "coded", "members", *(f"near-{w}" for w in range(waves)))
     own = F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("id")), 1, k)
     out = asked.join(lists.withColumnRenamed("asked", "rep"), "rep").select(F.col("id").alias("query_id"), F.posexplode(own).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

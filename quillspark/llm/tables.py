@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SET = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where a local session names none, as in tests."""
-    found = spark.conf.get(_SET, None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError(f"{_SET} names no folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+from ..store import shared_dir
 
 
 class Staged:
-    """Tables written once and read by several later plans; ``drop`` removes one that no later plan reads."""
+    """Tables written once and read by several later plans; an operator drops those that its result doesn't read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -34,7 +21,12 @@ class Staged:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str = "") -> None:
+    def drop(self, *names: str) -> None:
+        """Removes tables that no plan reads any more, or all."""
+        for name in names or ("",):
+            self._remove(name)
+
+    def _remove(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

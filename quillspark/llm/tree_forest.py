@@ -148,6 +148,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     found = stage.write(found.drop("node"), "found")
     smallest = stage.write(found.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     table = stage.write(found.join(smallest, "component").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "table")
+    stage.drop("classes", "leaves", "pairs", "found", "smallest")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = rows.select("id", "key").join(table, "key", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))

@@ -122,6 +122,12 @@ def test_graph_against_plain_rounds(spark, seed):
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()} and len(want) > len(seeds)
 
 
+def test_a_very_long_text(spark):
+    text = "word " * 200_000 + "x@y.org" + " word" * 200_000 + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    got = rows_of(spark.createDataFrame([(1, text), (2, "no data")], "doc_id long, text string"))
+    assert {r.doc_id: r.spans for r in got} == {1: f"email:1000000:1000007,secret:{len(text) - 41}:{len(text) - 1}", 2: ""}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a é x@y.org, +49 (30) 1234567!", "p"), (2, None, "q"), (None, "none", None)], "doc_id long, text string, spans string")
     assert sorted(map(str, map(tuple, redact(df).collect()))) == sorted(map(str, [(1, "a é [EMAIL], [PHONE]!", "p"), (2, None, "q"), (None, "none", None)]))

@@ -57,6 +57,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == sorted(str(r) for r in docs.drop("sequence_id", "offset").collect())
 
 
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    """Every stage but the last hands on the columns that it was given, whatever their names and types."""
+    import corpus_pipeline
+
+    more = ["id", "lang_pred", "score", "spans", "kind", "row", "component_id", "n_shingles", "piece", "length", "in_0", "keep_0"]
+    docs = spark.createDataFrame(corpus()[:60] + corpus()[-4:], SCHEMA)
+    docs = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS {c}" for c in more), "map('a', doc_id) AS m", "array(lang) AS links")
+    columns, kept = docs.columns, {r.doc_id: r for r in docs.collect()}
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == columns, name
+        for r in docs.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in more) and r.m == {"a": r.doc_id}, name
+    assert 0 < docs.count() < len(kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
 def test_empty(spark, tmp_path):
     import corpus_pipeline
 

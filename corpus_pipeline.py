@@ -23,7 +23,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     no letter go, as do those in no learned language."""
     columns = docs.columns
     found = language.predict(docs, language.train(docs), keep=tuple(columns))
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("known_share") >= LEAST_KNOWN)).toDF("own_id", "lang_pred", "score", "known_share", *(f"in_{k}" for k in range(len(columns))))
+    found = found.toDF("own_id", "lang_pred", "score", "known_share", *(f"in_{k}" for k in range(len(columns))))
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("known_share") >= LEAST_KNOWN))
     at = columns.index("lang")
     return kept.select(*(F.coalesce(f"in_{k}", "lang_pred").alias(c) if k == at else F.col(f"in_{k}").alias(c) for k, c in enumerate(columns)))
 

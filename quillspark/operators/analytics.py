@@ -32,6 +32,8 @@ class Result:
     totals: DataFrame | None = None
     scope: DataFrame | None = None
     caveat: str | None = None
+    #: A column of the rows; the caveat is given only if one of them lacks it.
+    lacking: str | None = None
     note: str | None = None
     extra: dict = field(default_factory=dict)
 
@@ -40,8 +42,10 @@ class Result:
         for frame in (self.totals, self.scope):
             if frame is not None:
                 out |= frame.first().asDict()
-        out |= {k: v for k, v in (("note", self.note), ("caveat", self.caveat)) if v}
-        return out | {"results": [r.asDict(recursive=True) for r in self.rows.collect()]}
+        rows = [r.asDict(recursive=True) for r in self.rows.collect()]
+        caveat = self.caveat if self.lacking is None or any(not r[self.lacking] for r in rows) else None
+        out |= {k: v for k, v in (("note", self.note), ("caveat", caveat)) if v}
+        return out | {"results": rows}
 
 
 def _scope(store: Store, concept_id: str | None, expand: bool) -> DataFrame | None:
@@ -123,7 +127,7 @@ def rank_authors(store: Store, concept_id=None, country=None, since_year=None, l
     ranked = counts.withColumn("score", score)
     totals = ranked.agg(F.count("*").alias("total_authors"))
     top = ranked.orderBy(F.desc("score"), F.desc("n_papers"), "author_key").limit(limit)
-    return Result(top, totals, _scope(store, concept_id, expand), CAVEATS["authors"], extra={"recent_since": since})
+    return Result(top, totals, _scope(store, concept_id, expand), CAVEATS["authors"], "orcid", extra={"recent_since": since})
 
 
 def list_papers(store: Store, concept_id=None, journal=None, substance_ui=None, author_key=None, since_year=None, limit: int = 50, expand: bool = True) -> Result:

@@ -118,12 +118,13 @@ def _xml_paths(text: str) -> list[tuple[str, str]]:
     return [(p, t) for p, t in out if p]
 
 
-def profile(df: DataFrame, id_col: str, text_col: str, kind: str = "xml", stride: int = 1) -> DataFrame:
+def profile(df: DataFrame, id_col: str, text_col: str, kind: str = "xml", stride: int = 1, max_records: int | None = None) -> DataFrame:
     """path, records, coverage (per cent of records), repeats (per cent of those with the path more than once), most (the
     largest number in a record), mean_length of non-empty texts, samples (up to three texts, the first in order): one
-    row for each path. stride profiles every so many records by id."""
+    row for each path. stride profiles every so many records by id, max_records only so many of these, the first by id."""
     parse = {"xml": _xml_paths, "html": _html_paths}[kind]
     rows = df.where(F.col(id_col) % stride == 0) if stride > 1 else df
+    rows = rows.orderBy(id_col).limit(max_records) if max_records else rows
 
     def run(batches):
         for batch in batches:

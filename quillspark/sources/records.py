@@ -172,12 +172,18 @@ def tables_of(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def _concepts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["concept_id", "concept_name", "terms", "trees"]
     for frame in frames:
         for content in frame["content"]:
+            held = []
             for el in _elements(bytes(content), {"DescriptorRecord"}):
-                ui, name = _text(el, "DescriptorUI"), _text(el, "DescriptorName/String")
                 terms = [t for t in dict.fromkeys((_text(t) or "").lower() for t in el.findall(".//Term/String")) if t]
-                yield pd.DataFrame({"concept_id": [ui], "concept_name": [name], "terms": [terms], "trees": [[_text(t) for t in el.findall("TreeNumberList/TreeNumber")]]})
+                held.append((_text(el, "DescriptorUI"), _text(el, "DescriptorName/String"), terms, [_text(t) for t in el.findall("TreeNumberList/TreeNumber")]))
+                if len(held) == 500:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=columns)
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -167,6 +167,7 @@ def test_profiles(spark):
     assert profiler.record_tag(b"<s><h/><r><x/></r><r/></s>") == "r"
     text = profiler.to_yaml(about, mapping, paths)
     assert 'path: "Title"' in text and '- "e@k"' in text
+    assert profiler.profile(rows, "id", "text", max_records=5).where("path = 'Title'").first().records == 5
     pages = spark.createDataFrame([(1, "<html><body><p>a<br>b<p>c</body>"), (2, None)], "id int, html string")
     assert {r.path for r in profiler.profile_pages(pages, "id", "html").collect()} >= {"html/body/p", "html/body/p/br"}
 
@@ -226,6 +227,9 @@ def test_recent_since_zero_and_affiliations(spark):
     }
     row = A.rank_authors(Store.of(spark, tables), recent_since=0).rows.first()
     assert (row.n_recent, row.affiliation, row.score) == (2, "Lab", 2 + 1.5 + 2 + 2)
+    assert "caveat" in A.rank_authors(Store.of(spark, tables)).collect()
+    tables["authors"] = tables["authors"].withColumn("orcid", F.lit("0000-0000-0000-0001"))
+    assert "caveat" not in A.rank_authors(Store.of(spark, tables)).collect()
 
 
 def test_search_is_a_tool(spark):

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Staged
 
 
+def forest(links: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each linked one of n to a root of its component; links are those of ``first`` with ``second``."""
+    near = np.zeros((n, n), bool)
+    near[np.ix_(first, second)] = links
+    near |= near.T
+    root = np.full(n, -1)
+    for k in range(n):
+        if root[k] < 0:
+            reached = np.zeros(n, bool)
+            front = np.array([k])
+            reached[k] = True
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & ~reached)
+                reached[front] = True
+            root[reached] = k
+    own = np.flatnonzero(root != np.arange(n))
+    return root[own], own
+
+
 def _large_star(edges: DataFrame, stage: Staged, name: str) -> DataFrame:
     """Links each node's larger neighbours to the least of it and its neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

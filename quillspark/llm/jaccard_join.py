@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, texts_of, trimmed
-from .components import components
+from .components import components, forest
 from .shingles import mix, shingle_sets
 from .tables import Staged, documents
 
@@ -293,25 +293,6 @@ def _links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percen
     return linked
 
 
-def _forest(links: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each linked set to a root of its component."""
-    near = np.zeros((n, n), bool)
-    near[np.ix_(first, second)] = links
-    near |= near.T
-    root = np.full(n, -1)
-    for k in range(n):
-        if root[k] < 0:
-            reached = np.zeros(n, bool)
-            front = np.array([k])
-            reached[k] = True
-            while len(front):
-                front = np.flatnonzero(near[front].any(0) & ~reached)
-                reached[front] = True
-            root[reached] = k
-    own = np.flatnonzero(root != np.arange(n))
-    return root[own], own
-
-
 def _compared(percent: int):
     """Over rows in order of (grp, i, j), each group of which holds two blocks at most: edges of linked sets."""
 
@@ -322,7 +303,7 @@ def _compared(percent: int):
         first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(first) or not len(second):
             return None
-        u, v = _forest(_links(sets, first, second, percent), first, second, len(sets))
+        u, v = forest(_links(sets, first, second, percent), first, second, len(sets))
         return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"]) if len(u) else None
 
     def run(batches):

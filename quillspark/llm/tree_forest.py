@@ -3,7 +3,9 @@
 A node splits its vectors by their projection on a random direction, at the median of a bounded sample's projections;
 vectors within SPILL of it (times the projections' spread) go to both sides. Where no sample is left, nodes split at the projection of the last
 sample's mean. Leaves are compared whole: a leaf of more than BLOCK vectors is dealt into blocks and compared by pairs
-of blocks, so that no task holds more than two of them.
+of blocks, so that no task holds more than two of them. Each comparison gives only edges that join what is linked; the
+union over all trees is the components. Links are then counted within each component, by pairs of blocks again, which
+also finds those that no leaf holds; no pair is ever sent.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import trimmed
-from .components import components
+from .components import components, forest
 from .tables import Staged, embeddings
 from .vectors import classes, doubles, matrix
 
@@ -98,25 +100,57 @@ def _assign(forest):
     return run
 
 
-def _compare(least):
+def _near(table: pa.Table, i: int, j: int, least: float):
+    """Rows of the two blocks, and a matrix for every 256 of the first: whether they are near those of the second."""
+    block, x = table.column("block").to_numpy(), matrix(table.column("vector"))
+    norms = np.linalg.norm(x, axis=1)
+    first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+    def parts():
+        for start in range(0, len(first), 256):
+            rows = first[start : start + 256]
+            yield rows, ((x[rows] @ x[second].T) / np.outer(norms[rows], norms[second]) >= least) & (rows[:, None] != second[None])
+
+    return first, second, parts()
+
+
+def _edges(least: float):
+    def run(key, table):
+        nodes = table.column("node").to_numpy()
+        first, second, parts = _near(table, key[1].as_py(), key[2].as_py(), least)
+        links = np.concatenate([part for _, part in parts]) if len(first) else np.zeros((0, len(second)), bool)
+        u, v = forest(links, first, second, len(nodes)) if links.any() else (np.zeros(0, np.int64),) * 2
+        return pa.table({"u": pa.array(nodes[u], pa.int64()), "v": pa.array(nodes[v], pa.int64())})
+
+    return run
+
+
+def _counts(least: float):
+    """node, links of each vector with the rows of the other block, or of its own."""
+
     def run(key, table):
-        block, ids, x = table.column("block").to_numpy(), table.column("node").to_numpy(), matrix(table.column("vector"))
-        norms = np.linalg.norm(x, axis=1)
-        first, second = block == key[1].as_py(), block == key[2].as_py()
-        pairs = []
-        a, rows_b = np.flatnonzero(first), np.flatnonzero(second)
-        for start in range(0, len(a), 512):
-            rows_a = a[start : start + 512]
-            i, j = np.nonzero((x[rows_a] @ x[rows_b].T) / np.outer(norms[rows_a], norms[rows_b]) >= least)
-            p, q = ids[rows_a[i]], ids[rows_b[j]]
-            keep = p < q if key[1] == key[2] else p != q
-            pairs.append(np.stack([np.minimum(p, q)[keep], np.maximum(p, q)[keep]]))
-        found = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+        nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        links = np.zeros(len(nodes), np.int64)
+        first, second, parts = _near(table, key[1].as_py(), key[2].as_py(), least)
+        for rows, part in parts:
+            links[rows] += part @ copies[second]
+            if key[1] != key[2]:
+                links[second] += copies[rows] @ part
+        return pa.table({"node": pa.array(nodes), "links": pa.array(links)})
 
     return run
 
 
+def _paired(rows: DataFrame, group: str, vectors: DataFrame) -> DataFrame:
+    """The rows (group, node) with their vectors, dealt into blocks of each group and grouped by pairs of blocks."""
+    blocks = rows.groupBy(group).agg(F.count("*").alias("size")).where("size > 1").select(group, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a row of block k meets every block: as the first of a pair or as the second
+    other = dealt.select(group, "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    paired = other.select(group, "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return paired.join(vectors, "node").groupBy(group, "i", "j")
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST) -> DataFrame:
     """One row per row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
 
@@ -133,22 +167,17 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sample = [np.frombuffer(r["vector"], np.float64) for r in reps.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vector").collect()]
     forest = spark.sparkContext.broadcast(Forest(sample, max(0, math.ceil(math.log2(max(1, n / LEAF))))))
     leaves = stage.write(reps.select("node", "vector").mapInArrow(trimmed(_assign(forest)), "leaf string, node long"), "leaves")
-    blocks = leaves.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1").select("leaf", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = leaves.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a row of block k meets every block: as the first of a pair or as the second
-    other = dealt.select("leaf", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = other.select("leaf", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    compared = paired.join(reps.select("node", "vector"), "node").groupBy("leaf", "i", "j")
-    compared = compared.applyInArrow(lambda key, table: _compare(least)(key, table), "a long, b long")
-    pairs = stage.write(compared.distinct(), "pairs")
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("node", "other")
-    links = both.join(reps.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("links"))
-    labels = components(pairs.toDF("u", "v"), stage).toDF("node", "component")
+    edges = _paired(leaves, "leaf", reps.select("node", "vector")).applyInArrow(lambda key, table: _edges(least)(key, table), "u long, v long")
+    edges = stage.write(edges.distinct(), "edges")
+    stage.drop("leaves")
+    labels = stage.write(components(edges, stage).toDF("node", "component"), "labels")
+    counted = _paired(labels, "component", reps.select("node", "vector", "copies")).applyInArrow(lambda key, table: _counts(least)(key, table), "node long, links long")
+    links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     found = reps.select("key", "node", "id", "copies").join(links, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = stage.write(found.drop("node"), "found")
     smallest = stage.write(found.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     table = stage.write(found.join(smallest, "component").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "table")
-    stage.drop("classes", "leaves", "pairs", "found", "smallest")
+    stage.drop("classes", "edges", "labels", "found", "smallest")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = rows.select("id", "key").join(table, "key", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))

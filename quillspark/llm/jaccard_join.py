@@ -64,12 +64,14 @@ def band_starts(percent: int, largest: int) -> np.ndarray:
 
 
 def _beyond(mean: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Chances that a Poisson number of these means is larger than ``most``."""
+    """Chances that a Poisson number of these means is larger than ``most``; 1 where that is well below the mean."""
     out = np.ones(len(mean))
-    for i, (mu, z) in enumerate(zip(mean, most)):
-        k = np.arange(int(z) + 1)
-        logs = k * math.log(max(mu, 1e-300)) - mu - np.array([math.lgamma(x + 1) for x in k])
-        out[i] = max(0.0, 1 - float(np.exp(logs).sum()))
+    for i, (mu, z) in enumerate(zip(mean.tolist(), most.tolist())):
+        if 0 < mu <= z + 1:
+            first = math.exp((z + 1) * math.log(mu) - mu - math.lgamma(z + 2))
+            out[i] = min(1.0, first * (1 + float(np.cumprod(mu / (z + 2 + np.arange(200))).sum())))
+        elif mu == 0:
+            out[i] = 0.0
     return out
 
 

@@ -138,7 +138,7 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, plan: Allocation) -> tu
     return np.concatenate(out), np.concatenate(owners)
 
 
-def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _combined(held: list[tuple[np.ndarray, np.ndarray]], most: int) -> pa.RecordBatch:
     """A task's signatures with their sets. One that many sets of the task have is sent once, with a mark that its bucket
     is whole; these sets follow as pairs with the first under signatures of their own, marked too. So a signature has a bounded number of rows from each
     task, however frequent it is."""
@@ -148,7 +148,7 @@ def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     first = np.concatenate([[True], sig[1:] != sig[:-1]])
     starts = np.flatnonzero(first)
     sizes = np.diff(np.append(starts, len(sig)))
-    often = np.repeat(sizes > _OFTEN, sizes)
+    often = np.repeat(sizes > most, sizes)
     centre = np.repeat(cls[starts], sizes)
     other = often & (centre != cls)
     pairs = np.unique(np.stack([centre[other], cls[other]]), axis=1)
@@ -159,9 +159,9 @@ def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.concatenate([cls[sent], *pairs, np.full(len(marked), _MARK)]))], names=["sig", "cls"])
 
 
-def _buckets(batches, columns: tuple[str, ...]):
+def _buckets(batches, columns: tuple[str, ...], most: int):
     """Over rows in order of (sig, cls), a table at a time: whole buckets, the places where each starts, and whether they
-    are parts of one. The last of a table goes on in the next one, but a bucket of _WHOLE rows is cut, and each part but
+    are parts of one. The last of a table goes on in the next one, but a bucket of ``most`` rows is cut, and each part but
     the first starts with the first rows of all."""
     held, carried = None, False
 
@@ -181,28 +181,32 @@ def _buckets(batches, columns: tuple[str, ...]):
         if len(starts) > 1:
             yield held.slice(0, int(starts[-1])), starts[:-1], part[:-1]
             held, carried = held.slice(int(starts[-1])), False
-        if held.num_rows > _WHOLE:
+        if held.num_rows > most:
             yield held, np.array([0]), np.array([True])
             held, carried = held.slice(0, 2), True
     if held is not None and held.num_rows:
         yield held, *found(held)
 
 
-def _shared(batches):
+def _shared():
     """The buckets of several sets, by what they hold rather than by signature: partners share many buckets, which often
     hold the same sets. Of a bucket that is cut, each part is one of its own."""
-    for table, starts, cut in _buckets(batches, ("sig", "cls")):
-        cls = table.column("cls").to_numpy()
-        # rows are in order of cls, so that repeats of a set stand together, and a mark comes first
-        new = np.concatenate([[True], cls[1:] != cls[:-1]])
-        new[starts] = True
-        whole = (cls[starts] == _MARK) | cut
-        new &= cls != _MARK
-        sizes = np.diff(np.append(starts, len(cls)))
-        held = np.add.reduceat(np.where(new, mix(cls.view(np.uint64) + _SEGMENT), np.uint64(0)), starts)
-        held = mix(held + np.where(whole, _GROUP, np.uint64(0))).view(np.int64)
-        keep = np.repeat(np.add.reduceat(new.astype(np.int64), starts) > 1, sizes) & new
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(held, sizes)[keep]), pa.array(cls[keep]), pa.array(np.repeat(whole, sizes)[keep])], names=["sig", "cls", "whole"])
+
+    def run(batches):
+        for table, starts, cut in _buckets(batches, ("sig", "cls"), _WHOLE):
+            cls = table.column("cls").to_numpy()
+            # rows are in order of cls, so that repeats of a set stand together, and a mark comes first
+            new = np.concatenate([[True], cls[1:] != cls[:-1]])
+            new[starts] = True
+            whole = (cls[starts] == _MARK) | cut
+            new &= cls != _MARK
+            sizes = np.diff(np.append(starts, len(cls)))
+            held = np.add.reduceat(np.where(new, mix(cls.view(np.uint64) + _SEGMENT), np.uint64(0)), starts)
+            held = mix(held + np.where(whole, _GROUP, np.uint64(0))).view(np.int64)
+            keep = np.repeat(np.add.reduceat(new.astype(np.int64), starts) > 1, sizes) & new
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(held, sizes)[keep]), pa.array(cls[keep]), pa.array(np.repeat(whole, sizes)[keep])], names=["sig", "cls", "whole"])
+
+    return run
 
 
 def _alike(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -248,7 +252,7 @@ def _candidates(percent: int):
     """Over rows (sig, cls, whole, n, counts) in order of (sig, cls): edges that join each bucket's candidates."""
 
     def run(batches):
-        for table, starts, cut in _buckets(batches, ("sig", "cls", "whole", "n", "counts")):
+        for table, starts, cut in _buckets(batches, ("sig", "cls", "whole", "n", "counts"), _WHOLE):
             cls, whole, sizes = (table.column(c).to_numpy() for c in ("cls", "whole", "n"))
             counts = _Counts(table.column("counts"))
             ends = np.append(starts[1:], len(cls))
@@ -366,8 +370,8 @@ def _digests(elements: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(elements[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def _counts(elements: np.ndarray) -> bytes:
-    width = next(w for w, most in _COUNTS if len(elements) <= most)
+def _counts(elements: np.ndarray, widths: tuple) -> bytes:
+    width = next(w for w, most in widths if len(elements) <= most)
     found = np.bincount((elements >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width)
     return np.minimum(found, 255).astype(np.uint8).tobytes()
 
@@ -382,7 +386,7 @@ def _base(width: int):
                 digests = _digests(elements, bounds)
                 halves = pa.array([None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())
                 sizes = np.diff(bounds)
-                counts = [_counts(elements[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                counts = [_counts(elements[a:b], _COUNTS) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(digests, pa.binary()), halves, pa.array(counts, pa.binary())], names=["id", "n_shingles", "set_hash", "cls", "counts"])
 
     return run
@@ -411,10 +415,10 @@ def _signed(plan: Allocation, width: int):
                     held.append((sig, np.frombuffer(b"".join(digests[k][:8] for k in new), np.int64)[of]))
                     size += len(sig)
                 if size >= _COMBINED:
-                    yield _combined(held)
+                    yield _combined(held, _OFTEN)
                     held, size = [], 0
         if held:
-            yield _combined(held)
+            yield _combined(held, _OFTEN)
 
     return run
 
@@ -495,7 +499,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = {r["band"]: r["sets"] for r in bands.groupBy("band").agg(F.count("*").alias("sets")).collect()}  # one row a band
     plan = Allocation(percent, largest, counts)
     dealt = read.where("id is not null").mapInArrow(trimmed(_signed(plan, width)), "sig long, cls long").repartition("sig").sortWithinPartitions("sig", "cls")
-    shared = stage.write(dealt.mapInArrow(_shared, "sig long, cls long, whole boolean").distinct(), "shared")
+    shared = stage.write(dealt.mapInArrow(_shared(), "sig long, cls long, whole boolean").distinct(), "shared")
     counted = shared.join(classes.select("cls", "n", "counts"), "cls").select("sig", "cls", "whole", "n", "counts")
     near = counted.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(trimmed(_candidates(percent)), "u long, v long")
     stars = stage.write(near, "stars")

@@ -35,10 +35,11 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = jaccard_join.jaccard_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id is not null")
     ids = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     ids = Staged(spark, "near").write(ids, "ids")
-    kept = docs.join(ids.where("times = 1").select("doc_id"), "doc_id", "left_semi")
+    # by a shuffle at every size, as the ids grow with the input
+    kept = docs.join(ids.where("times = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not (repeated := ids.where("times > 1")).isEmpty():
         # by the order of all columns as text, so that a repeated run keeps the same row whatever the columns' types
-        again = docs.join(repeated.select("doc_id"), "doc_id", "left_semi")
+        again = docs.join(repeated.select("doc_id").hint("merge"), "doc_id", "left_semi")
         row = F.struct(*(c for c in docs.columns if c != "doc_id"))
         least = again.groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row"))
         kept = kept.unionByName(least.select("doc_id", "row.*"))

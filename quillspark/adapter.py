@@ -82,8 +82,8 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Files that the orders' records are dealt to, and folders that this process has made.
-FILES = 16
+#: Keys of orders in a file of records, and folders that this process has made.
+RECORDS = 5000
 _MADE: set[str] = set()
 #: Tables that are written in order of a column, so that a filter on it reads few row groups.
 SORTED = {"postings": "term", "document_postings": "term", "vocabulary": "name_lc"}
@@ -127,17 +127,17 @@ _RECORD = """concat('<PubmedArticle><MedlineCitation Status="', o_orderstatus, '
 
 
 def driver_records(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of gzip files of XML records, made from the orders once in an application: FILES files of them all, and
-    one that revises every fiftieth and deletes every 101st."""
+    """A folder of gzip files of XML records, made from the orders once in an application: files of RECORDS of them each,
+    and later ones that revise every fiftieth and delete every 101st."""
     path = f"{shared_dir(spark).rstrip('/')}/records-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
     if path not in _MADE:
         orders = driver_table(spark, sf_dir, "orders").withColumn("pmid", F.col("o_orderkey").cast("string"))
-        record = F.expr(_RECORD)
-        first = orders.withColumns({"file": F.pmod("o_orderkey", F.lit(FILES)).cast("string"), "revised": F.lit("2000"), "title": F.lit("First")})
-        second = orders.where("o_orderkey % 50 = 0").withColumns({"file": F.lit("later"), "revised": F.lit("2001"), "title": F.lit("Newer")})
-        gone = orders.where("o_orderkey % 101 = 0").select(F.lit("later").alias("file"), F.concat(F.lit("<DeleteCitation><PMID>"), "pmid", F.lit("</PMID></DeleteCitation>")).alias("record"))
+        record, later = F.expr(_RECORD), F.format_string("later-%010d", F.floor(F.col("o_orderkey") / (20 * RECORDS)))
+        first = orders.withColumns({"file": F.format_string("first-%010d", F.floor(F.col("o_orderkey") / RECORDS)), "revised": F.lit("2000"), "title": F.lit("First")})
+        second = orders.where("o_orderkey % 50 = 0").withColumns({"file": later, "revised": F.lit("2001"), "title": F.lit("Newer")})
+        gone = orders.where("o_orderkey % 101 = 0").select(later.alias("file"), F.concat(F.lit("<DeleteCitation><PMID>"), "pmid", F.lit("</PMID></DeleteCitation>")).alias("record"))
         rows = first.unionAll(second).select("file", record.alias("record")).unionAll(gone)
-        # a file holds a bounded part of the table, as a file of daily records does
+        # a file holds a bounded part of the keys, as a file of daily records does
         whole = rows.groupBy("file").agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list("record"), ""), F.lit("</PubmedArticleSet>")).alias("value"))
         whole.write.mode("overwrite").partitionBy("file").option("compression", "gzip").text(path)
         _MADE.add(path)

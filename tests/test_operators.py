@@ -1,3 +1,6 @@
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +249,31 @@ def test_search_is_a_tool(spark):
         assert "search_literature" in {t["name"] for t in assistant.tool_schemas()}
     finally:
         del assistant.REGISTRY["search_literature"]
+
+
+def test_stemmed_search_against_plain_sums(spark):
+    """BM25 over stems by dictionaries."""
+    texts = {"a": "Hearts and heart failure, failing hearts", "b": "the heart", "c": "failures of national relations", "d": "Élan vital du cœur", "e": ""}
+    docs = spark.createDataFrame([*texts.items(), ("f", None)], "pmid string, text string")
+    stems = {d: [stem(w) for w in re.findall(r"\b\w\w+\b", t.lower()) if w not in retrieval.STOP_WORDS] for d, t in texts.items()}
+    stems = {d: own for d, own in stems.items() if own}
+    mean = sum(map(len, stems.values())) / len(stems)
+    terms, want = {stem(w) for w in ("heart", "failing", "nations")}, {}
+    for d, own in stems.items():
+        for t in terms & set(own):
+            df = sum(t in x for x in stems.values())
+            part = own.count(t) / (own.count(t) + retrieval.K1 * (1 - retrieval.B + retrieval.B * len(own) / mean))
+            want[d] = want.get(d, 0) + math.log(1 + (len(stems) - df + 0.5) / (df + 0.5)) * part
+    index = retrieval.postings(docs, stemmed=True)
+    for sizes in (None, retrieval.lengths(index)):
+        got = [(r.doc, round(r.score, 9)) for r in retrieval.bm25(index, "Heart failing nations the", 10, stemmed=True, sizes=sizes).collect()]
+        assert got == [(d, round(s, 9)) for d, s in sorted(want.items(), key=lambda x: (-x[1], x[0]))] and len(got) == 3
+
+
+def test_page_profiles_by_hand(spark):
+    pages = [(1, "<html><body><p>one</p><p>two!</p><a href='x'>l</a></body></html>"), (2, "<html><body><p></p><div><p class='k'>three</p></div>"), (3, None)]
+    rows = profiler.profile_pages(spark.createDataFrame(pages, "id int, html string"), "id", "html").collect()
+    got = {r.path: (r.records, r.coverage, r.repeats, r.most, r.mean_length, r.samples) for r in rows}
+    assert got["html/body/p"] == (2, 66.7, 50.0, 2, 3.5, ["one"])
+    assert got["html/body/a@href"] == (1, 33.3, 0.0, 1, 1.0, ["x"]) and got["html/body/div/p"][5] == ["three"]
+    assert set(got) == {"html", "html/body", "html/body/p", "html/body/a", "html/body/a@href", "html/body/div", "html/body/div/p"}

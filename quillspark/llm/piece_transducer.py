@@ -134,14 +134,14 @@ class Transducer:
         for p in self.ids:
             self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.last: dict[str, tuple[int, str]] = {}
+        self.last: dict[str, str] = {}
         # output labels of the inverse
         self.labels = [p.replace(SPACE, " ") if k in (NORMAL, UNUSED) else "" for p, _, k in model.pieces]
-        self.plain = np.array([k in (NORMAL, UNUSED) for _, _, k in model.pieces])
+        self.marked = np.array([k not in (NORMAL, UNUSED) for _, _, k in model.pieces])
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
         self.chunked = self.merging and self.cuts_marks and not self.thin and self.prefix and self.byte_ids is not None
         self.cuts_newlines = "\n" not in self.characters
-        self.known = Cache(self._unit, 300_000)
+        self.known = Cache(self._unit, 400_000)
 
     def _merged(self, text: str) -> list[str]:
         """Merges alone: always the adjacent pair whose piece has the best score, the leftmost of equal ones."""
@@ -192,26 +192,32 @@ class Transducer:
         return out[::-1]
 
     def _merging_path(self, text: str) -> list[str]:
-        """Distances and last pieces of short prefixes are kept, as other texts begin with them."""
+        """At each place one state has a finite distance, the number of pieces so far: which one is all that is kept. The
+        states of short prefixes stay known, as other texts begin with them."""
         n, kept, ids, fits, reach = len(text), self.last, self.ids, self.fits, self.reach
         if len(kept) > 1_000_000:
             kept.clear()
         known = min(n, KEY_LIMIT)
         while known and text[:known] not in kept:
             known -= 1
-        new: dict[int, tuple[int, str]] = {0: (0, "")}
+        new: dict[int, str] = {0: ""}
         for end in range(known + 1, n + 1):
             for start in range(max(0, end - reach.get(text[max(0, end - 2) : end], 1)), end):
                 piece = text[start:end]
                 if piece in ids or end - start == 1:
-                    distance, before = kept[text[:start]] if 0 < start <= known else new[start]
+                    before = kept[text[:start]] if 0 < start <= known else new[start]
                     fit = fits.get((before, piece))
                     if fit or fit is None and self._follows(before, piece):
-                        new[end] = distance + 1, piece  # the only finite distance, and so the least
+                        new[end] = piece  # every other sum at this place is infinite
                         if end <= KEY_LIMIT:
-                            kept[text[:end]] = new[end]
+                            kept[text[:end]] = piece
                         break
-        return self._back(n, lambda end: (kept[text[:end]] if end <= known else new[end])[1])
+        out, end = [], n
+        while end:
+            piece = kept[text[:end]] if end <= known else new[end]
+            out.append(piece)
+            end -= len(piece)
+        return out[::-1]
 
     def _ids(self, text: str) -> list[int]:
         """Of a normalised text."""
@@ -263,9 +269,14 @@ class Transducer:
         """The inverse: pieces' characters, marks as spaces, without the mark of the first piece if that begins with one;
         runs of bytes as the characters that they are, any other byte as a replacement character."""
         ids = np.asarray(ids, np.int64)
+        n = len(ids)
+        ends = np.flatnonzero(self.marked[ids]).tolist() if n else []
+        if not ends and not self.thin:
+            text = "".join(map(self.labels.__getitem__, ids.tolist()))
+            return text.removeprefix(" ") if self.prefix else text
         out: list[str] = []
-        starting, at, n = True, 0, len(ids)
-        ends = [*np.flatnonzero(~self.plain[ids]).tolist(), n] if n else []
+        starting, at = True, 0
+        ends.append(n)
         for end in ends:
             if end > at:
                 text = "".join(map(self.labels.__getitem__, ids[at:end].tolist()))

@@ -22,7 +22,7 @@ from .refine import build_report, refine
 
 #: Texts that an encoder gets at once.
 BATCH = 64
-_MARKER = "vector_model"
+_MARKER = "vectors_complete"
 
 
 def add_files(spark: SparkSession, source: str, out: str, pattern: str = "*.xml*", taxonomy: str | None = None, encode: Callable[[list[str]], list[list[float]]] | None = None, model: str = "", stemmed: bool = True) -> DataFrame:

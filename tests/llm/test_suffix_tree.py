@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import suffix_tree
 from quillspark.llm.suffix_tree import BOS, END, OTHER, long_states, score, train
@@ -154,6 +155,29 @@ def test_texts_that_occur_twice_score_higher(spark, monkeypatch):
     assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 60)) + 10
 
 
+@pytest.mark.parametrize("chunk", [None, 50])
+def test_long_contexts_are_counted_and_scored_at_every_place(spark, monkeypatch, chunk):
+    """Short texts, some of them twice, against dictionaries: no place may be left out. Those scored may be those learned."""
+    monkeypatch.setattr(suffix_tree, "CONTEXT", 0.004)
+    if chunk:
+        monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+        monkeypatch.setattr(suffix_tree, "BUCKETS", 3)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(8, 30))) for _ in range(80)]
+    texts += [*texts[:30], "one " * 50, "one " * 50 + "two", "one two " * 30, *(" ".join(f"rare{i * 20 + k}" for k in range(20)) for i in range(5)), " ".join(texts[:3]), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = F.col("doc_id") % 7 != 2
+    tree, counts, symbols = train(df.where(learned))
+    want, _, states = brute_scores([x for i, x in enumerate(texts) if i % 7 != 2], texts)
+    plain, _, _ = brute_scores([x for i, x in enumerate(texts) if i % 7 != 2], texts, with_long=False)
+    assert states > 100 and sum(abs(a - b) > 1e-3 for a, b in zip(want, plain)) > 40
+    for how in ({"long": long_states(symbols, tree)}, {"learned": learned}):
+        got = {r.doc_id: r.score for r in score(df, tree, counts, **how).collect()}
+        assert len(got) == len(texts)
+        for i, w in enumerate(want):
+            assert math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-7), (i, list(how))
+
+
 def test_empty_tables(spark, rows):
     df = spark.createDataFrame(rows[:3] + [(None, "a")], "doc_id long, text string").selectExpr("doc_id", "text", "1 score", "2 word")
     tree, counts, none = train(df.limit(0))

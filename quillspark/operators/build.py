@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -15,8 +16,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.records import read_records, read_taxonomy, tables_of
-from ..store import Store
+from ..sources.records import landed, read_records, read_taxonomy, tables_of
+from ..store import Store, shared_dir
 from . import retrieval
 from .refine import build_report, refine
 
@@ -27,7 +28,9 @@ _MARKER = "vectors_complete"
 
 def add_files(spark: SparkSession, source: str, out: str, pattern: str = "*.xml*", taxonomy: str | None = None, encode: Callable[[list[str]], list[list[float]]] | None = None, model: str = "", stemmed: bool = True) -> DataFrame:
     """Reads all files of a folder and writes out/store and out/index. Gives table, n_rows, n_keys of what was written."""
-    tables = tables_of(read_records(spark, source, pattern))
+    # files are parsed once, and every table is made of the rows that were landed
+    rows = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    tables = tables_of(landed(read_records(spark, source, pattern), rows))
     if taxonomy:
         tables |= read_taxonomy(spark, taxonomy)
     store = refine(tables, spark)
@@ -36,6 +39,7 @@ def add_files(spark: SparkSession, source: str, out: str, pattern: str = "*.xml*
     written = Store.read(spark, f"{out}/store")
     from .concepts import build_vocabulary
 
+    _remove(spark, rows)
     build_vocabulary(written).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/store/vocabulary.parquet")
     write_index(written, f"{out}/index", stemmed)
     if encode is not None:

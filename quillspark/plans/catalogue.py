@@ -9,12 +9,12 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..adapter import driver_records, driver_store, driver_table, records_text
+from ..adapter import driver_records, driver_store, driver_table, parsed_records, records_text
 from ..functions.text import country_from_affiliation
 from ..operators import analytics as A
 from ..operators import concepts as C
 from ..operators import profiler, refine, retrieval, sqlforms
-from ..sources import records
+from ..sources.records import tables_of
 from ..store import shared_dir
 from ..streaming import events, incremental
 from . import oracles, routes
@@ -61,8 +61,8 @@ def _ingested(table: str, *columns: str) -> Query:
     """A table of the store that the XML records give: files are parsed, the newest versions win, deletions are applied."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = records.read_records(spark, driver_records(spark, sf_dir), "*.gz")
-        return refine.refine(records.tables_of(rows), spark)[table].select(*columns)
+        rows = parsed_records(spark, sf_dir)
+        return refine.refine(tables_of(rows), spark)[table].select(*columns)
 
     return run
 

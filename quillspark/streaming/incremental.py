@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.refine import refine
-from ..sources.records import RECORD, _parsed, tables_of
+from ..sources.records import RECORD, parsed, tables_of
 from ..store import Store
 
 
@@ -20,7 +20,7 @@ def start(spark: SparkSession, source: str, landed: str, checkpoint: str, patter
         # a batch that is run again replaces its own rows
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{landed}/batch={number}")
 
-    rows = files.select("path", "content").mapInPandas(_parsed, RECORD)
+    rows = files.select("path", "content").mapInArrow(parsed, RECORD)
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -3,6 +3,7 @@ import gzip
 import pytest
 
 from quillspark.operators.refine import read_csv_shards, refine
+from quillspark.plans import catalogue
 from quillspark.sources.records import read_records, read_taxonomy, tables_of
 from quillspark.streaming import incremental
 
@@ -91,6 +92,19 @@ def test_winning_versions_are_joined_by_key(spark, folder):
         assert "BroadcastExchange" not in plan_of(store[name]) and "SortMergeJoin" in plan_of(store[name])
 
 
+def test_files_are_parsed_once_for_all_tables(spark):
+    for name in ("xml_articles", "xml_authorships", "xml_journals"):
+        plan = plan_of(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert "binaryFile" not in plan and "MapIn" not in plan
+
+
+def test_rows_of_records_as_arrow_give_what_the_schema_says(spark, folder):
+    rows = read_records(spark, str(folder / "in")).orderBy("source_file", "ordinal").collect()
+    assert [(r.kind, r.pmid, r.ordinal) for r in rows] == [("article", "1", 1), ("article", "2", 2), ("article", "3", 3), ("article", "3", 1), ("delete", "2", 2)]
+    assert [(a.last, a.position) for a in rows[0].authors] == [("Yun", "1"), ("Yun", "2"), (None, "3"), (None, "4")]
+    assert rows[4].authors == [] and rows[4].title is None and rows[0].cites[0].pmid == "7" and rows[0].month == "Jan"
+
+
 def test_taxonomy(spark, tmp_path):
     (tmp_path / "d.xml").write_text("<S><DescriptorRecord><DescriptorUI>D1</DescriptorUI><DescriptorName><String>Heart</String></DescriptorName><TreeNumberList><TreeNumber>A1</TreeNumber><TreeNumber>B1.2</TreeNumber></TreeNumberList><ConceptList><Term><String>Heart</String></Term><Term><String>heart</String></Term><Term><String>Cor</String></Term></ConceptList></DescriptorRecord></S>")
     out = read_taxonomy(spark, str(tmp_path / "d.xml"))

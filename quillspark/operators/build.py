@@ -51,8 +51,13 @@ def write_index(store: Store, path: str, stemmed: bool = True) -> None:
     """postings in order of the term, lengths, and what a result shows of a text (docmeta)."""
     spark, texts = store.spark, retrieval.document_text(store)
     save = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}.parquet")
-    save(retrieval.postings(texts, stemmed=stemmed).repartition("term").sortWithinPartitions("term"), "postings")
-    save(retrieval.lengths(spark.read.parquet(f"{path}/postings.parquet")), "lengths")
+    # texts are counted once, for both tables
+    at = f"{shared_dir(spark).rstrip('/')}/counts-{uuid.uuid4().hex}"
+    retrieval.term_counts(texts, stemmed=stemmed).write.option("compression", "zstd").parquet(at)
+    counts = spark.read.parquet(at)
+    save(retrieval.postings_of(counts).repartition("term").sortWithinPartitions("term"), "postings")
+    save(retrieval.lengths_of(counts), "lengths")
+    _remove(spark, at)
     save(texts.select("pmid", "title", "pub_year", "medline_ta"), "docmeta")
 
 

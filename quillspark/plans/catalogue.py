@@ -41,7 +41,8 @@ def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
 def _bm25(spark: SparkSession, sf_dir: str, k: int, stemmed: bool = False) -> DataFrame:
     store = driver_store(spark, sf_dir)
     if stemmed:
-        return retrieval.bm25(retrieval.postings(store["document_texts"], stemmed=True), SEARCH, k, stemmed=True)
+        counts = store["_document_stems"]
+        return retrieval.bm25(retrieval.postings_of(counts), SEARCH, k, stemmed=True, sizes=retrieval.lengths_of(counts))
     return retrieval.bm25(store["document_postings"], SEARCH, k, sizes=store["document_lengths"])
 
 

@@ -277,3 +277,38 @@ def test_page_profiles_by_hand(spark):
     assert got["html/body/p"] == (2, 66.7, 50.0, 2, 3.5, ["one"])
     assert got["html/body/a@href"] == (1, 33.3, 0.0, 1, 1.0, ["x"]) and got["html/body/div/p"][5] == ["three"]
     assert set(got) == {"html", "html/body", "html/body/p", "html/body/a", "html/body/a@href", "html/body/div", "html/body/div/p"}
+
+
+def test_texts_are_counted_within_their_rows(spark):
+    """Against plain counts, for words and stems; counting sends nothing."""
+    texts = {"a": "Cats and cats, a cat; the running runner runs É été Été", "b": "", "c": None, "d": "of the", "e": "x y zz " * 50}
+    docs = spark.createDataFrame([*texts.items()], "pmid string, text string")
+    for stemmed in (False, True):
+        counts = retrieval.term_counts(docs, stemmed=stemmed)
+        assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for d, t in texts.items():
+            for w in re.findall(r"\b\w\w+\b", (t or "").lower()):
+                if w not in retrieval.STOP_WORDS:
+                    key = d, stem(w) if stemmed else w
+                    want[key] = want.get(key, 0) + 1
+        for rows in (retrieval.postings_of(counts), retrieval.postings(docs, stemmed=stemmed)):
+            assert sorted(map(tuple, rows.collect())) == sorted((d, t, n) for (d, t), n in want.items())
+        assert sorted(map(tuple, retrieval.lengths_of(counts).collect())) == [("a", 10 - 2), ("e", 50)]
+    again = docs.unionAll(docs)
+    assert {r.tf for r in retrieval.postings(again).where("doc = 'e'").collect()} == {100}
+
+
+def test_a_lazy_store_writes_only_what_is_made_of_other_tables(spark, tmp_path):
+    made = []
+    views = Store(spark, {"keywords": lambda: made.append(1) or spark.createDataFrame([("2", "b"), ("1", "a")], "pmid string, term string")})
+    lazy = views.kept(str(tmp_path), lazy=True)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan(lazy["keywords"]) and lazy["keywords"].count() == 2
+    more = lazy.adding({"_step": lambda: lazy["keywords"].select("term"), "n_terms": lambda: lazy["keywords"].groupBy("term").count()})
+    kept = more.kept(str(tmp_path), names=["_step", "n_terms"])
+    assert kept.names() == ["keywords", "n_terms"]
+    assert {r.table: r.n_rows for r in kept.listing().collect()} == {"keywords": 2, "n_terms": 2}
+    assert "FileScan" not in plan(kept.definition("n_terms")) and "FileScan" in plan(kept["n_terms"]) and "FileScan" in plan(kept.definition("n_terms"))
+    views.kept(str(tmp_path))["keywords"]  # once it is written, it is read
+    assert "FileScan" in plan(views.kept(str(tmp_path), lazy=True)["keywords"])

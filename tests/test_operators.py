@@ -312,3 +312,10 @@ def test_a_lazy_store_writes_only_what_is_made_of_other_tables(spark, tmp_path):
     assert "FileScan" not in plan(kept.definition("n_terms")) and "FileScan" in plan(kept["n_terms"]) and "FileScan" in plan(kept.definition("n_terms"))
     views.kept(str(tmp_path))["keywords"]  # once it is written, it is read
     assert "FileScan" in plan(views.kept(str(tmp_path), lazy=True)["keywords"])
+
+
+def test_an_id_is_looked_up_without_a_vocabulary(spark, store, tmp_path):
+    made = []
+    kept = store.adding({"vocabulary": lambda: made.append(1) or C.build_vocabulary(store)}).kept(str(tmp_path), names=["vocabulary"])
+    assert C.interpret(kept, "D000000001").note == "Scope: Grandkid (D000000001)." and C.interpret(kept, "D99999").error
+    assert made and "vocabulary" not in kept._made  # defined, not written
